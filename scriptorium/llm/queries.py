@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, pii, quality, warc
+from . import decontam, minhash, packing, pii, quality, substring, warc
 from .common import shared_dir
 
 
@@ -22,6 +22,10 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.op3(_t(spark, sf, "documents"))
 
 
+def op5_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.op5(_t(spark, sf, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.op6(_t(spark, sf, "documents"), _t(spark, sf, "benchmark"))
 
@@ -34,5 +38,9 @@ def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.op8(_t(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_packing, op6_decontamination, op7_warc, op8_pii)}
+def op10_substring(spark: SparkSession, sf: str) -> DataFrame:
+    return substring.op10(_t(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_packing, op5_minhash, op6_decontamination, op7_warc, op8_pii, op10_substring)}
 ORACLES: dict[str, str] = {}
