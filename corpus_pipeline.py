@@ -1,6 +1,45 @@
-STAGES = []
+"""The corpus pipeline: quality rules, line dedup, near-duplicates, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes each result as Parquet to the shared folder
+and reads it again. All but the last stage return the columns of documents. Decontamination drops documents in which windows of
+one item or more occur; quality rules and line dedup also change texts, so a document may become empty, and stays.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from scriptorium.llm import decontam, line_dedup, minhash, packing, quality
+from scriptorium.llm.common import stored
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.clean_documents(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.drop_near_duplicates(docs, size=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", lines), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("packing", pack)]
+#: Near-duplicates, decontamination by windows and tokens are beyond SQL; tests/llm compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
