@@ -7,11 +7,13 @@
 4. Pairs are compared in batches of BATCH min-hashes; one goes when the posterior probability that its similarity reaches the
    threshold falls below MISS. Survivors are verified on full sets, first the best of each document, then those whose ends
    are still in different components.
-5. Buckets in which different components meet yet: up to SMALL members, all pairs of different components; beyond,
-   the members are banded again by two bands at once, and so on.
+5. Buckets of more than three members in which different components meet yet are dealt into blocks of BLOCK members; pairs of blocks
+   are tasks of bounded size, in which full sets are compared by one matrix product, and which return a spanning set
+   of new links, so fewer than they have members.
 
 Links are exact. A pair at the threshold is missed with probability (1 - 0.8^4)^24 = 3e-6 by banding, MISS by pruning.
-Full sets are shuffled only for documents that have candidates. Nothing but counts reaches the driver.
+Full sets are made only for documents that have candidates. Nothing but counts reaches the driver. The ids of those documents are broadcast
+up to BROADCAST_IDS (16 bytes each), and joined by shuffle beyond.
 
 Defined cases: null text and text without words have an empty set, linked with nothing; fewer words than a shingle: the whole
 sequence is one; repeated rows fall in one class; ties go to the smallest doc_id; an empty table gives no rows.
@@ -32,7 +34,8 @@ from .components import components
 
 ROWS, BANDS, BATCH, MISS = 4, 24, 16, 1e-6
 PERMUTATIONS = ROWS * BANDS
-SMALL = 32
+BLOCK = 512
+BROADCAST_IDS = 2_000_000
 
 
 def shingles(text: object, size: int) -> np.ndarray:
@@ -66,10 +69,77 @@ def _features(size: int):
     return run
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """48 bits of each hash: within a pair of sets of a thousand, a chance match has probability 1e-8."""
+    return np.unique(s & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(b, dtype=np.uint8).reshape(-1, 6)
+    return out.view(np.uint64)[:, 0]
+
+
 def _sets(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "s": [shingles(t, size).view(np.int64) for t in batch["text"]]})
+            for k in range(0, len(batch), 500):
+                part = batch.iloc[k : k + 500]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "s": [_packed(shingles(t, size)) for t in part["text"]]})
+
+    return run
+
+
+def _verify(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                x, y = _unpacked(x), _unpacked(y)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both * 100 >= (len(x) + len(y) - both) * percent)
+            yield batch.loc[good, ["a", "b"]]
+
+    return run
+
+
+def _block(percent: int):
+    """Spanning links between the components of a block pair's members (rid, root, s)."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("rid").sort_values("rid")
+        sets = [_unpacked(s) for s in rows["s"]]
+        ids, sizes = rows["rid"].to_numpy(), np.array([len(s) for s in sets])
+        names, at = np.unique(np.concatenate(sets), return_inverse=True)
+        of = np.repeat(np.arange(len(sets)), sizes)
+        often = np.bincount(at, minlength=len(names)) > 1
+        root = dict(zip(ids, rows["root"], strict=True))
+        parent = {r: r for r in root.values()}
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        column = np.cumsum(often) - 1
+        keep = often[at]
+        c, r = column[at[keep]], of[keep]
+        order = np.argsort(c, kind="stable")
+        c, r = c[order], r[order]
+        for k in range(0, int(often.sum()), 4096):  # bounded memory: 4096 shingles at a time
+            lo, hi = np.searchsorted(c, [k, k + 4096])
+            m = np.zeros((len(sets), 4096), dtype=np.float32)
+            m[r[lo:hi], c[lo:hi] - k] = 1
+            both += m @ m.T
+        similar = both * 100 >= (sizes[:, None] + sizes[None, :] - both) * percent
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(similar, 1)), strict=True):
+            x, y = find(root[ids[i]]), find(root[ids[j]])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((ids[j], ids[i]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -110,11 +180,11 @@ def prune(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar by their full sets."""
+    """The pairs (a, b) that are similar by their full sets. The hubs' sets, fewer, join last."""
+    hubs = sets.join(pairs.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi")
     one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
-    two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return two.select("a", "b", both.alias("i"), (F.size("x") + F.size("y")).alias("t")).where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * percent).select("a", "b")
+    two = one.join(hubs.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
+    return two.select("a", "b", "x", "y").mapInPandas(_verify(percent), "a long, b long")
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -123,11 +193,6 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select("rid", F.explode_outer(keys).alias("key"))
 
 
-def _refined(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """(key, rid): each key of members with each band of the member."""
-    return members.join(_bands(reps).withColumnRenamed("key", "k2"), "rid").select("rid", F.xxhash64("key", "k2").alias("key"))
-
-
 def _stars(bands: DataFrame) -> DataFrame:
     """Pairs of each member with the bucket's hubs: the least id, and the ends of an order by hash."""
     h = F.xxhash64("rid")
@@ -144,12 +209,9 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     mine = classes.select(F.col("digest").alias("__g"), "rid")
     reps = full.join(mine, (F.col("digest") == F.col("__g")) & (F.col("doc_id") == F.col("rid"))).select("rid", "n", "sig", "digest").dropDuplicates(["rid", "digest"])
     # the same doc_id with different texts: the class id is no longer one text; such rows keep the first digest
+    repeated = not full.groupBy("doc_id").agg(F.count_distinct("digest").alias("n")).where("n > 1").isEmpty()
     reps = stored(reps.groupBy("rid").agg(F.min_by(F.struct("n", "sig", "digest"), "digest").alias("x")).select("rid", "x.n", "x.sig", "x.digest"), "reps")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode_outer(F.array("a", "b")).alias("doc_id")).distinct()
-        return stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInPandas(_sets(size), "doc_id long, s array<long>").dropDuplicates(["doc_id"]), "sets")
-
     def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
         """Pairs whose ends are in different components."""
         c = comps.select("a", "root")
@@ -157,10 +219,17 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         return p.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
     tested = stored(prune(_stars(_bands(reps)), reps, percent), "pairs")
-    if tested.isEmpty():
-        comps = components(tested.select("a", "b"))
-        return _result(found, classes, comps)
-    sets = sets_of(tested)
+    large = _bands(reps).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 3")
+    large = stored(_bands(reps).join(large, "key"), "buckets")
+    ids = stored(tested.select(F.explode_outer(F.array("a", "b")).alias("doc_id")).union(large.select("rid")).distinct(), "ids")
+    n_ids = ids.count()
+    if not n_ids:
+        return _result(found, classes, ids.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("root")))
+    known = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
+    # one text per id: of rows with the same id the one whose set stands for it
+    texts = docs.select("doc_id", "text").join(known, "doc_id", "left_semi")
+    sets = stored(texts.mapInPandas(_sets(size), "doc_id long, s binary").groupBy("doc_id").agg(F.min("s").alias("s")) if repeated else texts.mapInPandas(_sets(size), "doc_id long, s binary"), "sets")
+
     best = tested.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
     links = stored(verify(best, sets, percent), "links")
     comps = components(links)
@@ -168,24 +237,16 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     links = stored(links.union(verify(rest, sets, percent)), "links")
     comps = components(links)
 
-    bands, done = _bands(reps), tested.select("a", "b")
-    for depth in range(8):
-        named = bands.join(comps.withColumnRenamed("a", "rid"), "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("root"))
-        facts = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi and m > 2").select("key", "m")
-        open_ = stored(named.join(facts, "key"), "open")
-        few = open_.where(F.col("m") <= SMALL).groupBy("key").agg(F.collect_set(F.struct("rid", "root")).alias("x"))  # at most SMALL entries
-        one = few.select("x", F.explode_outer("x").alias("p"))
-        pairs = one.select("p", F.explode_outer("x").alias("q")).where("p.rid > q.rid and p.root != q.root").select(F.col("p.rid").alias("a"), F.col("q.rid").alias("b")).distinct()
-        many = open_.where(F.col("m") > SMALL).select("rid", "key")
-        bands = stored(_refined(many, reps), "bands")
-        pairs = stored(prune(pairs.union(_stars(bands)).distinct().join(done, ["a", "b"], "left_anti"), reps, percent), "pairs")
-        if not pairs.isEmpty():
-            links = stored(links.union(verify(pairs, sets_of(pairs), percent)), "links")
-            comps = components(links)
-            done = done.union(pairs.select("a", "b"))
-        if bands.isEmpty():
-            break
-    return _result(found, classes, comps)
+    named = large.join(comps.withColumnRenamed("a", "rid"), "rid", "left").select("key", "m", "rid", F.coalesce("root", "rid").alias("root"))
+    open_ = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    rows = named.join(open_, "key").join(sets.withColumnRenamed("doc_id", "rid"), "rid")
+    # of the n blocks of a bucket each row goes to the n pairs that its own block is in
+    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    mine = F.pmod(F.xxhash64("rid"), blocks).cast("int")
+    rows = rows.select("key", "rid", "root", "s", mine.alias("mine"), F.explode_outer(F.sequence(F.lit(0), blocks - F.lit(1))).alias("other"))
+    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rid", "root", "s")
+    links = stored(links.union(rows.groupBy("key", "i", "j").applyInPandas(_block(percent), "a long, b long")), "links")
+    return _result(found, classes, components(links))
 
 
 def _result(found: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
