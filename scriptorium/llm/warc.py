@@ -58,8 +58,9 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     rows.select(header(F.col("kind"), F.col("page_id"), F.col("url"), F.col("digest"), F.col("bytes"), F.col("owner")).alias("header"), "address").write.parquet(f"{path}/headers")
     # an owner's id is its own key: no hot key here. Ids may repeat, with other payloads or the same: the address decides, one copy stays.
     mine = owners.select(F.col("owner").alias("__o"), F.col("address").alias("__a"))
+    twice = not facts.groupBy("page_id", "address").count().where("count > 1").isEmpty()
     once = d.join(mine, d["page_id"].eqNullSafe(F.col("__o")) & (d["address"] == F.col("__a")), "left_semi").select("address", "payload")
-    once.dropDuplicates(["address"]).write.parquet(f"{path}/payloads")
+    (once.dropDuplicates(["address"]) if twice else once).write.parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
