@@ -26,7 +26,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -48,6 +48,17 @@ def shingles(text: object, size: int) -> np.ndarray:
     return np.unique(H.windows(H.prefixes(H.word_hashes(words)), min(size, len(words))))
 
 
+def _keys(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band and what it holds."""
+    from . import wordhash as H
+
+    pairs = sig.view(np.uint64).reshape(BANDS, ROWS // 2)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS // 2):
+        key = H.mixed(key + pairs[:, k])
+    return key.view(np.int64)
+
+
 def _features(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -62,9 +73,9 @@ def _features(size: int):
                 low = np.full((PERMUTATIONS, 1), np.iinfo(np.uint64).max, dtype=np.uint64)
                 for k in range(0, len(s), 4096):
                     low = np.minimum(low, ((s[k : k + 4096] ^ b) * a).min(axis=1, keepdims=True))
-                sig = (low[:, 0] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                rows.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), sig))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "sig"])
+                sig = (low[:, 0] >> np.uint64(32)).astype(np.uint32)
+                rows.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), sig.tobytes(), _keys(sig)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "sig", "keys"])
 
     return run
 
@@ -159,9 +170,21 @@ def least_matches(threshold: float) -> dict[int, int]:
     return found
 
 
-def _agree(a: Column, b: Column, lo: int, n: int) -> Column:
-    same = F.zip_with(F.slice(a, lo + 1, n), F.slice(b, lo + 1, n), lambda x, y: (x == y).cast("int"))
-    return F.aggregate(same, F.lit(0), lambda t, x: t + x)
+def _prune(percent: int):
+    least = least_matches(percent / 100)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, y = (np.frombuffer(b"".join(batch[c]), dtype=np.uint32).reshape(-1, PERMUTATIONS) for c in ("sa", "sb"))
+            alive, est = np.arange(len(batch)), np.zeros(len(batch), dtype=np.int32)
+            for n, m in least.items():
+                est[alive] += (x[alive, n - BATCH : n] == y[alive, n - BATCH : n]).sum(axis=1, dtype=np.int32)
+                alive = alive[est[alive] >= m]
+            yield pd.DataFrame({"a": batch["a"].to_numpy()[alive], "b": batch["b"].to_numpy()[alive], "est": est[alive]})
+
+    return run
 
 
 def prune(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -170,13 +193,7 @@ def prune(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     p = pairs.join(s.select(F.col("rid").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a")
     p = p.join(s.select(F.col("rid").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
     p = p.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)  # else the sizes alone decide
-    so_far = F.lit(0)
-    alive = F.lit(True)
-    for n, m in least_matches(percent / 100).items():
-        p = p.withColumn("est", F.when(alive, so_far + _agree(F.col("sa"), F.col("sb"), n - BATCH, BATCH)).otherwise(F.lit(-1)))
-        so_far, alive = F.col("est"), (F.col("est") >= m)
-        p = p.withColumn("est", F.when(F.col("est") >= m, F.col("est")).otherwise(F.lit(-1)))
-    return p.where("est >= 0").select("a", "b", "est")
+    return p.select("a", "b", "sa", "sb").mapInPandas(_prune(percent), "a long, b long, est int")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -188,9 +205,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    sig = F.col("sig")
-    keys = F.array(*[F.xxhash64(F.lit(k), *[F.get(sig, F.lit(ROWS * k + j)) for j in range(ROWS)]) for k in range(BANDS)])
-    return reps.select("rid", F.explode_outer(keys).alias("key"))
+    return reps.select("rid", F.explode_outer("keys").alias("key"))
 
 
 def _stars(bands: DataFrame) -> DataFrame:
@@ -203,14 +218,14 @@ def _stars(bands: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    found = stored(docs.select("doc_id", "text").mapInPandas(_features(size), "doc_id long, n long, digest binary, sig array<int>"), "minhash")
+    found = stored(docs.select("doc_id", "text").mapInPandas(_features(size), "doc_id long, n long, digest binary, sig binary, keys array<long>"), "minhash")
     full = found.where("n > 0 and doc_id is not null")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("rid"))
     mine = classes.select(F.col("digest").alias("__g"), "rid")
-    reps = full.join(mine, (F.col("digest") == F.col("__g")) & (F.col("doc_id") == F.col("rid"))).select("rid", "n", "sig", "digest").dropDuplicates(["rid", "digest"])
+    reps = full.join(mine, (F.col("digest") == F.col("__g")) & (F.col("doc_id") == F.col("rid"))).select("rid", "n", "sig", "keys", "digest").dropDuplicates(["rid", "digest"])
     # the same doc_id with different texts: the class id is no longer one text; such rows keep the first digest
     repeated = not full.groupBy("doc_id").agg(F.count_distinct("digest").alias("n")).where("n > 1").isEmpty()
-    reps = stored(reps.groupBy("rid").agg(F.min_by(F.struct("n", "sig", "digest"), "digest").alias("x")).select("rid", "x.n", "x.sig", "x.digest"), "reps")
+    reps = stored(reps.groupBy("rid").agg(F.min_by(F.struct("n", "sig", "keys"), "digest").alias("x")).select("rid", "x.n", "x.sig", "x.keys"), "reps")
 
     def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
         """Pairs whose ends are in different components."""
