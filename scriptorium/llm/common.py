@@ -1,41 +1,20 @@
-"""Shared column helpers and the shared-folder table store."""
+"""Shared column helpers; the table store of the package."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, ship, stored
+
+__all__ = ["ascii_lower", "blank_words", "covered", "shared_dir", "ship", "stored", "word_hashes"]
+
 #: Separators of `[^\x20\x09-\x0D]+` words.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees (spark.checkpoint.dir); a local one only where it is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="scriptorium-")
-        shared_dir.own = where
-    return where
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once, whatever the number of uses in body."""
-    return F.transform(F.array(value), lambda v: body(v))[0]
-
-
 def blank_words(text: Column) -> Column:
     """Words `[^\x20\x09-\x0D]+` in order; none for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
@@ -51,12 +30,6 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def window_hashes(hashes: Column, n: Column, size: int, seed: int = 0) -> Column:
-    """Hash of each run of `size` consecutive entries. hashes, n: plain columns, so that nothing is computed per element."""
-    at = lambda i, k: F.get(hashes, i + F.lit(k))
-    return F.when(n >= size, F.transform(F.sequence(F.lit(0), n - F.lit(size)), lambda i: F.xxhash64(F.lit(seed), *[at(i, k) for k in range(size)]))).otherwise(F.array().cast("array<bigint>"))
-
-
 def covered(starts: Column, size: int) -> Column:
     """Number of positions inside any [start, start + size). starts: ascending array<int>."""
     zero = F.struct(F.lit(0).cast("int").alias("e"), F.lit(0).cast("bigint").alias("t"))

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontam, line_dedup, minhash, packing, pii, quality, substring, toxicity, warc
-from .common import shared_dir
+from .common import shared_dir, ship
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
