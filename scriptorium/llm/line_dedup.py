@@ -5,12 +5,13 @@ inserted, deleted or replaced), other lines when their words are equal. A line t
 (smaller doc_id, then line number) goes; the earliest stays. Blank lines stay.
 
 1. Lines become hashes: only hashes are shuffled. Equal lines are one from here on (partially aggregated minimum).
-2. One edit leaves the first or the second half of the words whole: only lines that share a half with another
-   line are candidates, and only their texts are read again.
-3. Each candidate emits its variants as hashed keys: the line itself and the line without each one word (an insertion or deletion
+2. One edit leaves the first or the last words of a line whole: only lines that share their first or last P words with another line
+   (P: the power of two from a quarter to half of their words) are candidates, and only their texts are read again.
+3. Each candidate emits its variants as hashed keys: the line itself and the line without one word (an insertion or deletion
    makes one line's variant the other line), and the line without word i under i (a replacement makes those equal).
-4. Equal variants meet in an aggregation by key, which keeps the earliest line of each: no pairs within a group,
-   so a variant that thousands of lines share costs thousands of rows.
+   Words that the shared beginning or end rules out as the edit are not deleted.
+4. Keys are counted; those met once go. Of lines with equal variants the earliest is kept, by an aggregation by key: no pairs
+   within a group, so a variant that thousands of lines share costs thousands of rows.
 5. Each line and the earlier one found for it are compared word by word before anything is removed.
 
 Defined cases: null text is empty, has one blank line, and comes back null; repeated rows (same id and text) are one document
@@ -25,82 +26,104 @@ from pyspark.sql import functions as F
 from .common import BLANK_RUN, BLANKS, stored
 
 MIN_WORDS, MAX_WORDS = 8, 512
+#: What is found per line or document is broadcast up to so many lines (below 100 bytes each), joined by shuffle beyond.
+BROADCAST_LINES = 1_000_000
 
 
-def _plain(line: Column) -> Column:
-    """The line's words joined by single spaces."""
+def _plain(line: Column, odd: Column) -> Column:
+    """The line's words joined by single spaces. odd: whether the text has other blanks or two in a row."""
     t = F.btrim(line, F.lit(BLANKS))
-    return F.when(t.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(t, BLANK_RUN, " ")).otherwise(t)
+    return F.when(odd, F.regexp_replace(t, BLANK_RUN, " ")).otherwise(t)
 
 
-def _n_words(plain: Column) -> Column:
-    return F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit(""))) + F.lit(1)
+def _odd(text: Column) -> Column:
+    out = F.lit(False)
+    for s in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        out = out | F.contains(text, F.lit(s))
+    return out
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th, i (line number), line (plain), for every line with a word."""
-    d = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode_outer(F.split("text", "\n")).alias("i", "raw"))
-    return d.select("doc_id", "th", "i", _plain(F.col("raw")).alias("line")).where("line != ''")
+def _n_words(plain: Column) -> Column:
+    return F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit(""))) + F.lit(1)
 
 
 def _first(text: Column, n: Column) -> Column:
     return F.call_function("substring_index", text, F.lit(" "), n.cast("int"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Lines as hashes: doc_id, th, i, h, h2, n and the keys of their halves."""
-    x = _lines(docs).withColumn("n", _n_words(F.col("line")))
-    keys = []
-    for back in (0, 1):  # as the shorter or equal line, and as the longer by one word
-        m = F.col("n") - F.lit(back)
-        half = F.floor(m / 2)
-        keys += [F.xxhash64(F.lit("first"), m, _first(F.col("line"), half)), F.xxhash64(F.lit("last"), m, _first(F.col("line"), half - m))]
-    fits = F.col("n").between(MIN_WORDS, MAX_WORDS)
-    return x.select("doc_id", "th", "i", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), "n", F.when(fits, F.array(*keys)).alias("halves"))
+def _p(n: Column) -> Column:
+    """The power of two from a quarter to half of n."""
+    return F.call_function("shiftleft", F.lit(1), (F.floor(F.log2(n.cast("double")) + F.lit(1e-9)) - F.lit(1)).cast("int"))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, th, gone: the line numbers that go, of documents that lose any."""
-    place = F.struct("doc_id", "th", "i")
-    # h and h2: 96 bits name a line
-    kinds = stored(_keyed(docs).groupBy("h", "h2").agg(F.min(place).alias("first"), F.first("halves").alias("halves")), "lines")
-    halves = kinds.select("h", "h2", F.explode_outer("halves").alias("k")).where("k is not null")
-    shared = halves.groupBy("k").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo != hi").select("k")
-    close = halves.join(shared, "k", "left_semi").select("h", "h2").distinct().join(kinds.select("h", "h2", "first"), ["h", "h2"])
-    # the text of a candidate, from the place where it stands first
-    where = close.select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.col("first.i").alias("i"), "h", "h2").groupBy("doc_id", "th").agg(F.collect_list(F.struct("i", "h", "h2")).alias("at"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").dropDuplicates(["doc_id", "th"])
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Lines with a word, as hashes: doc_id, th, i (line number), h, h2 (96 bits name a line) and the keys of their ends.
+
+    A line of 2^k words has keys of both sizes, as a line of one word less has the smaller.
+    """
+    d = docs.select("doc_id", F.xxhash64("text").alias("th"), _odd(F.col("text")).alias("odd"), F.posexplode_outer(F.split("text", "\n")).alias("i", "raw"))
+    d = d.select("doc_id", "th", "i", _plain(F.col("raw"), F.col("odd")).alias("line")).where("line != ''").withColumn("n", _n_words(F.col("line")))
+    d = d.withColumn("p", F.when(F.col("n").between(MIN_WORDS, MAX_WORDS), _p(F.col("n"))))
+    ends = lambda p: [F.xxhash64(F.lit(1), p, _first(F.col("line"), p)), F.xxhash64(F.lit(2), p, _first(F.col("line"), -p))]
+    small = F.floor(F.col("p") / 2).cast("int")
+    both = (F.col("n") == F.col("p") * 2) & (F.col("n") > MIN_WORDS)
+    keys = F.when(F.col("p").isNull(), F.lit(None).cast("array<bigint>")).when(both, F.array(*ends(F.col("p")), *ends(small))).otherwise(F.array(*ends(F.col("p"))))
+    return d.select("doc_id", "th", "i", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), keys.alias("keys"))
+
+
+def _candidates(docs: DataFrame, keyed: DataFrame, kinds: DataFrame) -> DataFrame:
+    """place, h, h2, w (words), lo, hi (the words that may be deleted) of the lines that share an end with another line."""
+    ends = keyed.where("keys is not null").select("h", "h2", F.posexplode_outer("keys").alias("e", "k"))
+    shared = ends.groupBy("k").agg(F.min("h2").alias("a"), F.max("h2").alias("b")).where("a != b").select("k")
+    close = ends.join(shared, "k").groupBy("h", "h2").agg(F.max(F.col("e") % 2 == 0).alias("first"), F.max(F.col("e") % 2 == 1).alias("last"))
+    close = stored(close.join(kinds, ["h", "h2"]), "close")
+    where = close.groupBy("place.doc_id", "place.th").agg(F.collect_list(F.struct("place.i", "h", "h2", "first", "last")).alias("at"))
+    if close.count() <= BROADCAST_LINES:
+        where = F.broadcast(where)
     c = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.th") == F.col("b.th")]
-    read = where.alias("a").join(texts.alias("b"), c).select("a.doc_id", "a.th", "a.at", F.split("b.text", "\n").alias("raw"))
-    read = read.select("doc_id", "th", F.explode_outer(F.transform("at", lambda x: F.struct(x["h"].alias("h"), x["h2"].alias("h2"), x["i"].alias("i"), F.get(F.col("raw"), x["i"]).alias("raw")))).alias("x"))
-    lines = read.select(F.struct("doc_id", "th", "x.i").alias("first"), "x.h", "x.h2", F.split(_plain(F.col("x.raw")), " ").alias("w"))
-    lines = stored(lines, "candidates")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    read = texts.alias("b").join(where.alias("a"), c).select("a.doc_id", "a.th", "a.at", F.split("b.text", "\n").alias("raw"))
+    read = read.select("doc_id", "th", F.explode_outer(F.transform("at", lambda x: F.struct(x.alias("at"), F.get(F.col("raw"), x["i"]).alias("raw")))).alias("x"))
+    x, raw = "x.at.", F.col("x.raw")
+    lines = read.select(F.struct("doc_id", "th", F.col(x + "i").alias("i")).alias("place"), x + "h", x + "h2", x + "first", x + "last", F.split(_plain(raw, F.lit(True)), " ").alias("w"))
+    n = F.size("w")
+    p = F.when((n == _p(n) * 2) & (n > MIN_WORDS), F.floor(_p(n) / 2).cast("int")).otherwise(_p(n))
+    lines = lines.select("place", "h", "h2", "w", F.when(F.col("last"), F.lit(1)).otherwise(p + F.lit(1)).alias("lo"), F.when(F.col("first"), n).otherwise(n - p).alias("hi"))
+    return stored(lines, "candidates")
+
 
+def _similar(lines: DataFrame) -> DataFrame:
+    """h, h2 of the lines that have an earlier line within one edit."""
     n = F.size("w")
-    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.array_join(F.concat(F.slice(F.col("w"), F.lit(1), i - F.lit(1)), F.slice(F.col("w"), i + F.lit(1), n)), " ")))
-    v = lines.select("first", "h", "h2", F.xxhash64(F.array_join("w", " ")).alias("own"), cut.alias("cut"))
+    less = F.transform(F.sequence(F.col("lo"), F.col("hi")), lambda i: F.struct(i.alias("i"), F.xxhash64(F.array_join(F.concat(F.slice(F.col("w"), F.lit(1), i - F.lit(1)), F.slice(F.col("w"), i + F.lit(1), n)), " ")).alias("key")))
+    v = lines.select("h", "h2", F.xxhash64(F.array_join("w", " ")).alias("own"), less.alias("less"))
     own = F.array(F.struct(F.lit(0).alias("kind"), F.col("own").alias("key")))
-    less = F.transform("cut", lambda x: F.struct(F.lit(1).alias("kind"), x.alias("key")))
-    swap = F.transform("cut", lambda x, i: F.struct(F.lit(2).alias("kind"), F.xxhash64(x, i).alias("key")))
-    v = v.select(F.struct("first", "h", "h2").alias("line"), F.explode_outer(F.concat(own, less, swap)).alias("x")).select("line", "x.kind", "x.key")
-    # a line and its shorter variants share a key; replacements have keys of their own
-    side = (F.col("kind") == 2).alias("swap")
-    least = v.groupBy(side, "key").agg(F.min("line").alias("any"), F.min(F.when(F.col("kind") == 0, F.col("line"))).alias("own"), F.min(F.when(F.col("kind") == 1, F.col("line"))).alias("less"), F.min("kind").alias("k0"), F.max("kind").alias("k1"), F.max("line").alias("last"))
-    # useful keys: two lines, and for insertions a whole line among them
-    useful = least.where(F.when(F.col("swap"), F.col("any") != F.col("last")).otherwise((F.col("k0") == 0) & (F.col("k1") == 1)))
-    met = v.withColumn("swap", F.col("kind") == 2).join(useful.drop("k0", "k1", "last"), ["swap", "key"])
-    other = F.when(F.col("swap"), F.col("any")).when(F.col("kind") == 0, F.col("less")).otherwise(F.col("own"))
-    pairs = met.select("line", other.alias("other")).where(F.col("other.first") < F.col("line.first")).distinct()
+    # a line and its shorter variants share keys; replacements have keys of their own
+    shorter = F.array_distinct(F.transform("less", lambda x: F.struct(F.lit(1).alias("kind"), x["key"].alias("key"))))
+    swap = F.transform("less", lambda x: F.struct(F.lit(2).alias("kind"), F.xxhash64(x["key"], x["i"]).alias("key")))
+    v = v.select("h", "h2", F.explode_outer(F.concat(own, shorter, swap)).alias("x")).select("h", "h2", "x.kind", "x.key")
+    twice = v.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    met = v.join(twice, "key", "left_semi").join(lines.select("h", "h2", "place"), ["h", "h2"])
+    met = stored(met.select("key", "kind", F.struct("place", "h", "h2").alias("line")), "variants")
+    of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("line")))
+    least = met.groupBy("key").agg(of(0).alias("own"), of(1).alias("less"), of(2).alias("swap"))
+    pairs = met.join(least, "key").select("line", F.when(F.col("kind") == 2, F.col("swap")).when(F.col("kind") == 0, F.col("less")).otherwise(F.col("own")).alias("other"))
+    pairs = pairs.where(F.col("other.place") < F.col("line.place")).distinct()
     pairs = pairs.select(F.col("line.h").alias("h"), F.col("line.h2").alias("h2"), F.col("other.h").alias("oh"), F.col("other.h2").alias("oh2"))
     t = lines.select("h", "h2", "w")
     both = pairs.join(t, ["h", "h2"]).join(t.select(F.col("h").alias("oh"), F.col("h2").alias("oh2"), F.col("w").alias("ow")), ["oh", "oh2"])
-    similar = stored(both.where(within_one(F.col("w"), F.col("ow"))).select("h", "h2").distinct(), "similar")
+    return both.where(within_one(F.col("w"), F.col("ow"))).select("h", "h2").distinct()
 
-    fate = kinds.select("h", "h2", "first").join(similar.withColumn("gone", F.lit(True)), ["h", "h2"], "left")
-    # a line met once and not similar to an earlier one needs no look-up
-    seen = _keyed(docs).select("doc_id", "th", "i", "h", "h2").join(fate, ["h", "h2"])
-    gone = seen.where(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "th", "i") != F.col("first")))
-    return gone.groupBy("doc_id", "th").agg(F.collect_set("i").alias("gone"))
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, th, gone: the line numbers that go, of documents that lose any (stored)."""
+    keyed = stored(_keyed(docs), "lines")
+    kinds = keyed.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "th", "i")).alias("place"))
+    similar = _similar(_candidates(docs, keyed, kinds)).withColumn("gone", F.lit(True))
+    fate = kinds.join(similar, ["h", "h2"], "left")
+    seen = keyed.select("doc_id", "th", "i", "h", "h2").join(fate, ["h", "h2"])
+    gone = seen.where(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "th", "i") != F.col("place")))
+    return stored(gone.groupBy("doc_id", "th").agg(F.collect_set("i").alias("gone")), "gone")
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -116,8 +139,10 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def _joined(docs: DataFrame) -> DataFrame:
-    found = repeats(docs).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), F.col("gone").alias("__gone"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left")
+    found = repeats(docs)
+    small = (found.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_LINES
+    found = found.select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), F.col("gone").alias("__gone"))
+    return docs.join(F.broadcast(found) if small else found, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left")
 
 
 def _kept(text: Column) -> Column:
