@@ -95,7 +95,8 @@ def annotate(docs: DataFrame, text: str = "text") -> DataFrame:
     df = _repeats(df)
     df = df.withColumn("lost_chars", F.col("word_chars") - F.length(F.regexp_replace("cleaned", BLANK_RUN, "")))
     df = df.withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
-    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * MAX_LOST))
+    # the row number keeps a filter on `kept` from being pushed below, into a copy of all the expressions it stands on
+    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * MAX_LOST) & (F.monotonically_increasing_id() >= 0))
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept", "cleaned"]
     return df.select(*[c for c in names if c not in own], *own)
 
