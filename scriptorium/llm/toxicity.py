@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 MAX_ROWS, MAX_TERMS, MIN_DOCS, MIN_SHARE = 50_000, 5_000, 5, 0.5
 ROUNDS, DEPTH, RATE, BINS, MIN_LEAF, RIDGE = 80, 3, 0.12, 48, 15, 2.0
 PREFIXES = (4, 5, 6, 7, 8, 9)
@@ -176,7 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     n = mine.count()
     if n > MAX_ROWS:
         mine = mine.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS)
-    rows = docs.select("doc_id", "text").join(mine, "doc_id").dropDuplicates(["doc_id"])
+    # at most MAX_ROWS ids are broadcast, so the texts of the corpus are not shuffled
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id").dropDuplicates(["doc_id"]), "labelled")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
