@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontam, line_dedup, minhash, packing, pii, quality, substring, toxicity, warc
 from .common import shared_dir, ship
+from .oracles import ORACLES
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -55,5 +56,5 @@ def op10_substring(spark: SparkSession, sf: str) -> DataFrame:
     return substring.op10(_t(spark, sf, "documents"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_packing, op4_toxicity, op5_minhash, op6_decontamination, op7_warc, op8_pii, op9_chat, op10_substring)}
-ORACLES: dict[str, str] = {}
