@@ -5,7 +5,7 @@ Native DataFrame functions only: window hashes are exploded inside one codegen s
 against the hash table of benchmark windows; only hits, verified word by word, are shuffled.
 
 Broadcast rule: the windows are counted first. Up to BROADCAST_WINDOWS they are broadcast (below 256 bytes each);
-beyond it the same join is left to the shuffle, where AQE splits hot windows.
+beyond it windows are shuffled as hashes, where AQE splits hot ones, and what is met is verified on the texts of its documents.
 
 Defined cases: null text or item has no words; repeated document rows get equal results each;
 empty tables give no hits; repeated items count once per item_id; null item_id is not counted as an item.
@@ -45,28 +45,44 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Data
     windows = benchmark_windows(benchmark).distinct()
     facts = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.size("w")).alias("l")).first()  # one row, at most 8 lengths
     lengths = sorted(facts["l"], reverse=True) or [SIZE]
-    hint = F.broadcast if facts["n"] <= BROADCAST_WINDOWS else (lambda x: x)
+    small = facts["n"] <= BROADCAST_WINDOWS
 
     n = F.col("n")
     d = docs.select("doc_id", F.xxhash64(text).alias("th"), words(F.col(text)).alias("ws"))
     d = d.select("doc_id", "th", "ws", F.size("ws").alias("n"), word_hashes(F.col("ws")).alias("wh"))
-    at = lambda i, k: F.get(F.col("wh"), i + F.lit(k))
+    hash_at = lambda i, k: F.get(F.col("wh"), i + F.lit(k))
 
     def hashes(k):
-        each = F.transform(F.sequence(F.lit(0), n - F.lit(k)), lambda i: F.xxhash64(F.lit(k), *[at(i, j) for j in range(k)]))
+        each = F.transform(F.sequence(F.lit(0), n - F.lit(k)), lambda i: F.xxhash64(F.lit(k), *[hash_at(i, j) for j in range(k)]))
         return F.when(n >= k, each).otherwise(F.array().cast("array<bigint>"))
 
     all_hashes = F.concat(*[hashes(k) for k in lengths]) if len(lengths) > 1 else hashes(lengths[0])
-    d = d.select("doc_id", "th", "ws", "n", all_hashes.alias("hs"))
+    # beyond the broadcast bound windows are shuffled, and then without the words of their document
+    words_too = ["ws"] if small else []
+    d = d.select("doc_id", "th", *words_too, "n", all_hashes.alias("hs"))
     # outer: else the optimizer derives a filter on the array and pushes it, with all that it holds, below the word split
-    d = d.select("doc_id", "th", "ws", "n", F.posexplode_outer("hs").alias("p", "h"))
+    d = d.select("doc_id", "th", *words_too, "n", F.posexplode_outer("hs").alias("p", "h"))
     grams = windows.groupBy("h", "w").agg(F.collect_set("item_id").alias("ids"))
-    base, start = F.lit(0), F.lit(None).cast("int")
-    for k in lengths:
-        start = F.when((F.size("w") == k) & start.isNull(), F.col("p") - base).otherwise(start)
-        base = base + F.greatest(n - F.lit(k - 1), F.lit(0))
-    hits = d.join(hint(grams), "h").where(F.slice("ws", start + F.lit(1), F.size("w")) == F.col("w"))
-    hits = hits.select("doc_id", "th", F.struct(start.alias("s"), F.size("w").alias("l")).alias("at"), "ids")
+
+    def start(size):
+        base, out = F.lit(0), F.lit(None).cast("int")
+        for k in lengths:
+            out = F.when((size == k) & out.isNull(), F.col("p") - base).otherwise(out)
+            base = base + F.greatest(n - F.lit(k - 1), F.lit(0))
+        return out
+
+    at = lambda s, size: F.struct(s.alias("s"), size.alias("l")).alias("at")
+    if small:
+        s = start(F.size("w"))
+        hits = d.join(F.broadcast(grams), "h").where(F.slice("ws", s + F.lit(1), F.size("w")) == F.col("w"))
+        hits = hits.select("doc_id", "th", at(s, F.size("w")), "ids")
+    else:
+        met = d.join(grams.select("h", F.size("w").alias("l")).distinct(), "h").groupBy("doc_id", "th").agg(F.collect_set(F.struct(start(F.col("l")).alias("s"), "l", "h")).alias("x"))
+        c = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.th") == F.col("b.th")]
+        texts = docs.select("doc_id", F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+        read = texts.alias("a").join(met.alias("b"), c).select("a.doc_id", "a.th", "x", words(F.col("a.text")).alias("ws"))
+        spots = read.select("doc_id", "th", F.explode_outer(F.transform("x", lambda x: F.struct(x["s"].alias("s"), x["h"].alias("h"), F.slice(F.col("ws"), x["s"] + F.lit(1), x["l"]).alias("w")))).alias("x"))
+        hits = spots.select("doc_id", "th", "x.*").join(grams, ["h", "w"]).select("doc_id", "th", at(F.col("s"), F.size("w")), "ids")
     found = hits.groupBy("doc_id", "th").agg(F.collect_set("at").alias("starts"), F.collect_set("ids").alias("ids"))
     return found.select("doc_id", "th", F.sort_array("starts").alias("starts"), F.array_distinct(F.flatten("ids")).alias("items"))
 
