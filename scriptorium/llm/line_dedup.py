@@ -61,7 +61,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
     A line of 2^k words has keys of both sizes, as a line of one word less has the smaller.
     """
-    d = docs.select("doc_id", F.xxhash64("text").alias("th"), _odd(F.col("text")).alias("odd"), F.posexplode_outer(F.split("text", "\n")).alias("i", "raw"))
+    # two steps: in one, what stands beside the generator is computed for each line, from the whole text
+    d = docs.select("doc_id", F.xxhash64("text").alias("th"), _odd(F.col("text")).alias("odd"), F.split("text", "\n").alias("raw"))
+    d = d.select("doc_id", "th", "odd", F.posexplode_outer("raw").alias("i", "raw"))
     d = d.select("doc_id", "th", "i", _plain(F.col("raw"), F.col("odd")).alias("line")).where("line != ''").withColumn("n", _n_words(F.col("line")))
     d = d.withColumn("p", F.when(F.col("n").between(MIN_WORDS, MAX_WORDS), _p(F.col("n"))))
     ends = lambda p: [F.xxhash64(F.lit(1), p, _first(F.col("line"), p)), F.xxhash64(F.lit(2), p, _first(F.col("line"), -p))]
@@ -72,7 +74,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, keyed: DataFrame, kinds: DataFrame) -> DataFrame:
-    """place, h, h2, w (words), lo, hi (the words that may be deleted) of the lines that share an end with another line."""
+    """place, h, h2, line, n (words), lo, hi (the words that may be deleted) of the lines that share an end with another line."""
     ends = keyed.where("keys is not null").select("h", "h2", F.posexplode_outer("keys").alias("e", "k"))
     shared = ends.groupBy("k").agg(F.min("h2").alias("a"), F.max("h2").alias("b")).where("a != b").select("k")
     close = ends.join(shared, "k").groupBy("h", "h2").agg(F.max(F.col("e") % 2 == 0).alias("first"), F.max(F.col("e") % 2 == 1).alias("last"))
@@ -85,32 +87,35 @@ def _candidates(docs: DataFrame, keyed: DataFrame, kinds: DataFrame) -> DataFram
     read = texts.alias("b").join(where.alias("a"), c).select("a.doc_id", "a.th", "a.at", F.split("b.text", "\n").alias("raw"))
     read = read.select("doc_id", "th", F.explode_outer(F.transform("at", lambda x: F.struct(x.alias("at"), F.get(F.col("raw"), x["i"]).alias("raw")))).alias("x"))
     x, raw = "x.at.", F.col("x.raw")
-    lines = read.select(F.struct("doc_id", "th", F.col(x + "i").alias("i")).alias("place"), x + "h", x + "h2", x + "first", x + "last", F.split(_plain(raw, F.lit(True)), " ").alias("w"))
-    n = F.size("w")
+    lines = read.select(F.struct("doc_id", "th", F.col(x + "i").alias("i")).alias("place"), x + "h", x + "h2", x + "first", x + "last", _plain(raw, F.lit(True)).alias("line")).withColumn("n", _n_words(F.col("line")))
+    n = F.col("n")
     p = F.when((n == _p(n) * 2) & (n > MIN_WORDS), F.floor(_p(n) / 2).cast("int")).otherwise(_p(n))
-    lines = lines.select("place", "h", "h2", "w", F.when(F.col("last"), F.lit(1)).otherwise(p + F.lit(1)).alias("lo"), F.when(F.col("first"), n).otherwise(n - p).alias("hi"))
+    lines = lines.select("place", "h", "h2", "line", "n", F.when(F.col("last"), F.lit(1)).otherwise(p + F.lit(1)).alias("lo"), F.when(F.col("first"), n).otherwise(n - p).alias("hi"))
     return stored(lines, "candidates")
 
 
 def _similar(lines: DataFrame) -> DataFrame:
     """h, h2 of the lines that have an earlier line within one edit."""
-    n = F.size("w")
-    less = F.transform(F.sequence(F.col("lo"), F.col("hi")), lambda i: F.struct(i.alias("i"), F.xxhash64(F.array_join(F.concat(F.slice(F.col("w"), F.lit(1), i - F.lit(1)), F.slice(F.col("w"), i + F.lit(1), n)), " ")).alias("key")))
-    v = lines.select("h", "h2", F.xxhash64(F.array_join("w", " ")).alias("own"), less.alias("less"))
+    def without(i):
+        return F.trim(F.concat(_first(F.col("line"), i - F.lit(1)), F.lit(" "), _first(F.col("line"), i - F.col("n"))))
+
+    less = F.transform(F.sequence(F.col("lo"), F.col("hi")), lambda i: F.struct(i.alias("i"), F.xxhash64(without(i)).alias("key")))
+    v = lines.select("h", "h2", F.xxhash64("line").alias("own"), less.alias("less"))
     own = F.array(F.struct(F.lit(0).alias("kind"), F.col("own").alias("key")))
     # a line and its shorter variants share keys; replacements have keys of their own
     shorter = F.array_distinct(F.transform("less", lambda x: F.struct(F.lit(1).alias("kind"), x["key"].alias("key"))))
     swap = F.transform("less", lambda x: F.struct(F.lit(2).alias("kind"), F.xxhash64(x["key"], x["i"]).alias("key")))
-    v = v.select("h", "h2", F.explode_outer(F.concat(own, shorter, swap)).alias("x")).select("h", "h2", "x.kind", "x.key")
+    v = v.select("h", "h2", F.explode_outer(F.concat(own, shorter, swap)).alias("x")).select("h", "h2", F.col("x.kind").cast("byte").alias("kind"), "x.key")
+    v = stored(v, "variants")
     twice = v.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     met = v.join(twice, "key", "left_semi").join(lines.select("h", "h2", "place"), ["h", "h2"])
-    met = stored(met.select("key", "kind", F.struct("place", "h", "h2").alias("line")), "variants")
+    met = stored(met.select("key", "kind", F.struct("place", "h", "h2").alias("line")), "met")
     of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("line")))
     least = met.groupBy("key").agg(of(0).alias("own"), of(1).alias("less"), of(2).alias("swap"))
     pairs = met.join(least, "key").select("line", F.when(F.col("kind") == 2, F.col("swap")).when(F.col("kind") == 0, F.col("less")).otherwise(F.col("own")).alias("other"))
     pairs = pairs.where(F.col("other.place") < F.col("line.place")).distinct()
     pairs = pairs.select(F.col("line.h").alias("h"), F.col("line.h2").alias("h2"), F.col("other.h").alias("oh"), F.col("other.h2").alias("oh2"))
-    t = lines.select("h", "h2", "w")
+    t = lines.select("h", "h2", F.split("line", " ").alias("w"))
     both = pairs.join(t, ["h", "h2"]).join(t.select(F.col("h").alias("oh"), F.col("h2").alias("oh2"), F.col("w").alias("ow")), ["oh", "oh2"])
     return both.where(within_one(F.col("w"), F.col("ow"))).select("h", "h2").distinct()
 
