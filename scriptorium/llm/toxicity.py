@@ -33,10 +33,10 @@ NEAR = 3
 #: Second-person words of the languages at hand (fixed values).
 YOU = frozenset("you your yours yourself du dich dir dein deine ihr euch tu te toi vous votre vos ton usted ustedes tú ti vosotros su".split())
 WORD = re.compile(r"[^\W\d_]+")
-OBFUSCATED = re.compile(r"[^\W\d_][*@$#0-9]+[^\W\d_]|(.)\1{3}")
-UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
-STOPS = re.compile(r"[!?]")
-OTHER = re.compile(r"[^\w\s]")
+OBFUSCATED = re.compile(r"(?<=[^\W\d_])[*@$#0-9]+(?=[^\W\d_])")
+MASKS = [ord(c) for c in "*@$#0123456789"]
+#: ASCII punctuation by byte.
+PUNCTUATION = [c for c in range(33, 127) if not chr(c).isalnum() and c != 95]
 N_FEATURES = 13
 
 
@@ -59,27 +59,35 @@ class Lexicon:
         return {"odds": self.odds, "known": {}}
 
     def weight(self, word: str) -> float:
-        if (w := self.known.get(word)) is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            w = self.known[word] = max((self.odds.get(u, 0.0) for u in units(word)), default=0.0)
-        return w
+        return max((self.odds.get(u, 0.0) for u in units(word)), default=0.0)
+
+    def weights(self, words: list[str]) -> list[float]:
+        """The weight of each word, from a bounded store of what has been asked for."""
+        if len(self.known) > 500_000:
+            self.known.clear()
+        found = list(map(self.known.get, words))
+        if None in found:
+            for w in set(words).difference(self.known):
+                self.known[w] = self.weight(w)
+            found = list(map(self.known.get, words))
+        return found
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
     words = WORD.findall(text.lower())
     n = max(1, len(words))
-    hits = [(i, w) for i, w in enumerate(map(lexicon.weight, words)) if w > 0]
+    hits = [(i, w) for i, w in enumerate(lexicon.weights(words)) if w]
     weights = sorted((w for _, w in hits), reverse=True)
     strong = sum(w > 3 for w in weights)
     distinct = sorted({words[i]: w for i, w in hits}.values(), reverse=True)
-    near = 0
-    if hits:
-        near = sum(any(words[j] in YOU for j in range(max(0, i - NEAR), min(len(words), i + NEAR + 1))) for i, _ in hits)
-    chars = max(1, len(text))
+    near = sum(any(words[j] in YOU for j in range(max(0, i - NEAR), min(len(words), i + NEAR + 1))) for i, _ in hits)
+    data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
+    count, size = np.bincount(data, minlength=256), max(1, len(data))
+    same = data[1:] == data[:-1]
+    odd = int((same[2:] & same[1:-1] & same[:-2]).sum()) + (len(OBFUSCATED.findall(text)) if count[MASKS].any() else 0)
     return [
         weights[0] if weights else 0.0, weights[1] if len(weights) > 1 else 0.0, weights[2] if len(weights) > 2 else 0.0, 1000 * strong / n, 1000 * len(hits) / n, 1000 * sum(weights) / n, sum(distinct[:5]), float(strong),
-        1000 * near / n, len(UPPER.findall(text)) / chars, len(STOPS.findall(text)) / chars, len(OTHER.findall(text)) / chars, 1000 * len(OBFUSCATED.findall(text)) / chars if len(text) < 20_000 or hits else 0.0,
+        1000 * near / n, count[65:91].sum() / size, (count[33] + count[63]) / size, count[PUNCTUATION].sum() / size, 1000 * odd / size,
     ]
 
 
