@@ -30,15 +30,16 @@ def postings(passages: DataFrame, passage: str = "passage_id", text: str = "text
     Arabic words are stemmed once per distinct word of the corpus and joined back; others are their own stem in lower case.
     """
     words = passages.select(F.col(passage).alias("passage_id"), F.posexplode(T.tokenize(F.col(text))).alias("pos", "token"))
-    by = words.groupBy("passage_id", "token").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    norm = by.select(F.lit("norm").alias("field"), F.lower("token").alias("term"), "passage_id", "positions")
-    arabic = by.where(F.col("token").rlike(T.ARABIC))
-    latin = by.where(~F.col("token").rlike(T.ARABIC)).select(F.lit("stems").alias("field"), F.lower("token").alias("term"), "passage_id", "positions")
-    out = norm.union(latin)
-    if stem_words:
-        stems = isri.stem_map(arabic, "token")
-        out = out.union(arabic.join(stems, "token").select(F.lit("stems").alias("field"), F.col("stem").alias("term"), "passage_id", "positions"))
-    return out.groupBy("field", "term", "passage_id").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    places = F.array_sort(F.collect_list("pos")).alias("positions")
+    norm = words.groupBy("passage_id", F.lower("token").alias("term")).agg(places)
+    # without Arabic letters the stem is the word in lower case: one aggregation serves both fields
+    fields = F.when(F.col("term").rlike(T.ARABIC), F.array(F.lit("norm"))).otherwise(F.array(F.lit("norm"), F.lit("stems")))
+    out = norm.select(F.explode(fields).alias("field"), "term", "passage_id", "positions")
+    if not stem_words:
+        return out
+    arabic = words.where(F.col("token").rlike(T.ARABIC))
+    stems = arabic.join(isri.stem_map(arabic, "token"), "token").groupBy("passage_id", F.col("stem").alias("term")).agg(places)
+    return out.union(stems.select(F.lit("stems").alias("field"), "term", "passage_id", "positions"))
 
 
 def lengths(passages: DataFrame, passage: str = "passage_id", text: str = "text") -> DataFrame:

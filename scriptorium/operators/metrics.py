@@ -7,7 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 from ..functions import text as T
 
@@ -89,23 +89,31 @@ def tashkil(text: Column) -> Column:
 def assemble_rtl(boxes: DataFrame, page: str = "page_id") -> DataFrame:
     """M5: boxes(page, x0, x1, y0, y1, text) to text: lines from the top, words of a line from the right.
 
-    Lines are found greedily, in order, so a page is one group; its boxes are bounded by the page.
+    Lines are found greedily, in order. A page's boxes are bounded by the page; they meet in one row, and rows go to Python in batches.
     """
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        lines: list[list] = []  # top, bottom, members
-        for b in p.sort_values("y0", kind="stable").itertuples():
-            for line in lines:
-                least = min(line[1] - line[0], b.y1 - b.y0)
-                if least > 0 and (min(line[1], b.y1) - max(line[0], b.y0)) / least > 0.5:
-                    line[:] = [min(line[0], b.y0), max(line[1], b.y1), [*line[2], b]]
-                    break
-            else:
-                lines.append([b.y0, b.y1, [b]])
-        said = [" ".join(x.text for x in sorted(line[2], key=lambda x: -x.x1)) for line in sorted(lines, key=lambda x: x[0])]
-        return pd.DataFrame({page: [p[page].iloc[0]], "text": ["\n".join(said)]})
-
-    return boxes.groupBy(page).applyInPandas(run, f"{page} long, text string")
+    @F.pandas_udf(StringType())
+    def lines_of(pages: pd.Series) -> pd.Series:
+        return pages.map(_lines)
+
+    box = F.struct("y0", "y1", "x0", "x1", "text")
+    return boxes.groupBy(page).agg(F.array_sort(F.collect_list(box)).alias("b")).select(page, lines_of("b").alias("text"))
+
+
+def _lines(boxes) -> str:
+    """The text of a page from its boxes, in order of their tops."""
+    lines: list[list] = []  # top, bottom, members
+    for b in boxes:
+        top, bottom = b["y0"], b["y1"]
+        for line in lines:
+            least = min(line[1] - line[0], bottom - top)
+            if least > 0 and (min(line[1], bottom) - max(line[0], top)) / least > 0.5:
+                line[:] = [min(line[0], top), max(line[1], bottom), [*line[2], b]]
+                break
+        else:
+            lines.append([top, bottom, [b]])
+    said = [" ".join(x["text"] for x in sorted(line[2], key=lambda x: -x["x1"])) for line in sorted(lines, key=lambda x: x[0])]
+    return "\n".join(said)
 
 
 def summary(rows: DataFrame, engine: str, metrics: list[str]) -> DataFrame:
