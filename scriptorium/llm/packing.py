@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 LENGTH, UNIT, END = 1024, 8, 0
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
