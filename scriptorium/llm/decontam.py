@@ -109,10 +109,42 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) ->
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = 1) -> DataFrame:
-    """Documents in which windows of fewer than min_items items occur; the columns of docs."""
-    hits = find_hits(docs, benchmark).where(F.size("items") >= min_items).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"))
-    return docs.join(hits, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left_anti")
+def _merged(starts: Column) -> Column:
+    """Ascending runs (s, e) of the words covered by starts."""
+    none = F.array().cast("array<struct<s:int,e:int>>")
+
+    def step(a, x):
+        last, end = F.element_at(a, -1), x["s"] + x["l"]
+        grown = F.concat(F.slice(a, F.lit(1), F.size(a) - F.lit(1)), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], end).alias("e"))))
+        return F.when((F.size(a) > 0) & (x["s"] <= F.get(a, F.size(a) - F.lit(1))["e"]), grown).otherwise(F.concat(a, F.array(F.struct(x["s"].alias("s"), end.alias("e")))))
+
+    return F.aggregate(starts, none, step)
+
+
+def without_words(text: Column, runs: Column) -> Column:
+    """text without the words in runs; each run's first word becomes a line end, which no window crosses unseen."""
+    pieces = F.regexp_extract_all(text, F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), 1)
+
+    def cut(p):
+        shift = F.when(F.get(p, F.lit(0)).rlike(r"^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(0)).otherwise(F.lit(1))
+
+        def keep(x, i):
+            k = F.floor((i - shift) / F.lit(2)).cast("int")  # words and separators take turns
+            is_word = (i - shift) % 2 == 0
+            return F.when(F.exists(runs, lambda r: (r["s"] <= k) & (k < F.when(is_word, r["e"]).otherwise(r["e"] - F.lit(1)))), F.when(is_word & F.exists(runs, lambda r: r["s"] == k), F.lit("\n")).otherwise(F.lit(""))).otherwise(x)
+
+        return F.array_join(F.transform(p, keep), "")
+
+    return F.transform(F.array(pieces), lambda p: cut(p))[0]
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) -> DataFrame:
+    """docs without documents in which min_items items or more occur, and without the words of occurring windows in the others; the columns of docs."""
+    hits = find_hits(docs, benchmark).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), _merged(F.col("starts")).alias("__runs"), F.size("items").alias("__n"))
+    j = docs.join(hits, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left").where(F.coalesce("__n", F.lit(0)) < min_items)
+    text = F.when(F.col("__runs").isNotNull(), without_words(docs["text"], F.col("__runs"))).otherwise(docs["text"])
+    new = {"text": text, "n_chars": F.length(text).cast("bigint")}
+    return j.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
 
 
 def op6(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -243,8 +243,8 @@ def test_decontamination_equals_brute_force(spark, edge, small, none, monkeypatc
     s = small["documents"]
     check(decontam.op6(s, small["benchmark"]).collect(), brute_hits(texts(s), [(r.item_id, r.text) for r in small["benchmark"].collect()]))
     assert decontam.op6(none, b).count() == 0 and decontam.op6(d, b.limit(0)).where("n_hit > 0").count() == 0
-    kept = decontam.drop_contaminated(d, b, 2)
-    assert 90 not in {r.doc_id for r in kept.collect()} and 91 in {r.doc_id for r in kept.collect()}
+    kept = {r.doc_id: r.text for r in decontam.clean_documents(d, b).collect() if r.doc_id and r.doc_id >= 90}
+    assert 90 not in kept and kept[91] == "élan \n"
 
 
 # -- packing ------------------------------------------------------------------------------------------------------------
@@ -278,6 +278,19 @@ def placed(rows, docs):
     return Counter({s: n for s, n in Counter().items()}) or {s: sum(n for s2, _, n in spots if s2 == s) for s, _, _ in spots}
 
 
+def test_leaked_words_are_cut_out(spark, none):
+    passage = "one two three four five six seven eight nine ten"
+    b = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    cases = [(1, f"Before it. {passage}! After it."), (2, passage), (3, f"«{passage.title()}» {passage}"), (4, "one two three"), (5, None), (6, f"... {passage} ? x {passage}")]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in cases], DOCS)
+    out = decontam.clean_documents(d, b)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert out.columns == d.columns
+    assert got == {1: "Before it. \n! After it.", 2: "\n", 3: got[3], 4: "one two three", 5: None, 6: "... \n ? x \n"}
+    assert not any(n for _, _, n, _, _, _ in brute_hits(list(got.items()), [(1, passage)]))
+    assert decontam.clean_documents(none, b).count() == 0
+
+
 def test_packing(small, edge, none):
     rows = packing.op3(small["documents"]).collect()
     full = placed(rows, texts(small["documents"]))
