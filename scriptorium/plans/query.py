@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from ..functions import isri
 from ..functions import text as T
 
+# The separators of OR groups, quoted phrases, signs of exclusion.
 OR = re.compile(r"\s*\|\s*|\s+(?:oder|or|أو)\s+", re.IGNORECASE)
 PHRASE = re.compile(r'(-?)"([^"]+)"')
 MINUS = ("-", "−")
