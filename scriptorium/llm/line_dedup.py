@@ -77,6 +77,7 @@ def _candidates(docs: DataFrame, keyed: DataFrame, kinds: DataFrame) -> DataFram
     """place, h, h2, line, n (words), lo, hi (the words that may be deleted) of the lines that share an end with another line."""
     ends = keyed.where("keys is not null").select("h", "h2", F.posexplode_outer("keys").alias("e", "k"))
     shared = ends.groupBy("k").agg(F.min("h2").alias("a"), F.max("h2").alias("b")).where("a != b").select("k")
+    shared = stored(shared, "shared")  # a table of its own, so that the join can split a hot end
     close = ends.join(shared, "k").groupBy("h", "h2").agg(F.max(F.col("e") % 2 == 0).alias("first"), F.max(F.col("e") % 2 == 1).alias("last"))
     close = stored(close.join(kinds, ["h", "h2"]), "close")
     where = close.groupBy("place.doc_id", "place.th").agg(F.collect_list(F.struct("place.i", "h", "h2", "first", "last")).alias("at"))
