@@ -212,6 +212,7 @@ def _stars(bands: DataFrame) -> DataFrame:
     """Pairs of each member with the bucket's hubs: the least id, and the ends of an order by hash."""
     h = F.xxhash64("rid")
     hubs = bands.groupBy("key").agg(F.min("rid").alias("h1"), F.max("rid").alias("h0"), F.min(F.struct(h.alias("o"), F.col("rid").alias("rid"))).alias("h2"), F.max(F.struct(h.alias("o"), F.col("rid").alias("rid"))).alias("h3")).where("h0 != h1")
+    hubs = stored(hubs, "hubs")  # a table of its own, so that the join can split a hot bucket
     p = bands.join(hubs, "key").select("rid", F.explode_outer(F.array("h1", F.col("h2.rid"), F.col("h3.rid"))).alias("hub"))
     return p.where("rid != hub").select(F.greatest("rid", "hub").alias("a"), F.least("rid", "hub").alias("b")).distinct()
 
@@ -220,7 +221,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     found = stored(docs.select("doc_id", "text").mapInPandas(_features(size), "doc_id long, n long, digest binary, sig binary, keys array<long>"), "minhash")
     full = found.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rid"))
+    classes = stored(full.groupBy("digest").agg(F.min("doc_id").alias("rid")), "classes")
     mine = classes.select(F.col("digest").alias("__g"), "rid")
     reps = full.join(mine, (F.col("digest") == F.col("__g")) & (F.col("doc_id") == F.col("rid"))).select("rid", "n", "sig", "keys", "digest").dropDuplicates(["rid", "digest"])
     # the same doc_id with different texts: the class id is no longer one text; such rows keep the first digest
@@ -235,6 +236,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     tested = stored(prune(_stars(_bands(reps)), reps, percent), "pairs")
     large = _bands(reps).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 3")
+    large = stored(large, "large")
     large = stored(_bands(reps).join(large, "key"), "buckets")
     ids = stored(tested.select(F.explode_outer(F.array("a", "b")).alias("doc_id")).union(large.select("rid")).distinct(), "ids")
     n_ids = ids.count()
@@ -253,7 +255,9 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     comps = components(links)
 
     named = large.join(comps.withColumnRenamed("a", "rid"), "rid", "left").select("key", "m", "rid", F.coalesce("root", "rid").alias("root"))
+    named = stored(named, "named")
     open_ = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    open_ = stored(open_, "open")
     rows = named.join(open_, "key").join(sets.withColumnRenamed("doc_id", "rid"), "rid")
     # of the n blocks of a bucket each row goes to the n pairs that its own block is in
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
@@ -266,7 +270,8 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def _result(found: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
     roots = classes.join(comps.withColumnRenamed("a", "rid"), "rid", "left").select("digest", F.coalesce("root", "rid").alias("component"))
-    out = found.join(roots, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    roots = stored(roots, "roots")
+    out = found.select("doc_id", "digest", "n").join(roots, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
