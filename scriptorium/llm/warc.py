@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 CRLF = "\r\n"
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -52,7 +54,7 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     """
     d = with_digests(pages, page_id, url, payload)
     facts = d.select("page_id", "url", "bytes", "address", sha1_base32(F.col("payload")).alias("digest"))
-    owners = facts.groupBy("address").agg(F.max("page_id").alias("owner"))
+    owners = stored(facts.groupBy("address").agg(F.max("page_id").alias("owner")), "owners")  # a table of its own, so that the join can split a hot payload
     kind = F.when((F.col("bytes") >= least) & (F.col("page_id") != F.col("owner")), "revisit").otherwise("response")
     rows = facts.join(owners, "address").withColumn("kind", F.coalesce(kind, F.lit("response")))
     rows.select(header(F.col("kind"), F.col("page_id"), F.col("url"), F.col("digest"), F.col("bytes"), F.col("owner")).alias("header"), "address").write.parquet(f"{path}/headers")
