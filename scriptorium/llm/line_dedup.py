@@ -156,10 +156,13 @@ def _kept(text: Column) -> Column:
     return F.when(gone.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs without repeated lines, n_chars brought up to date; all rows and columns stay."""
+def dedup_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
+    """docs without repeated lines, n_chars brought up to date. All rows stay, but for drop_emptied those that lost all they said."""
     new = {"text": _kept(docs["text"]), "n_chars": F.length(_kept(docs["text"])).cast("bigint")}
-    return _joined(docs).select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+    j = _joined(docs)
+    if drop_emptied:
+        j = j.where(F.col("__gone").isNull() | _kept(docs["text"]).rlike(r"[^\x20\x09-\x0D]"))
+    return j.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
 
 
 def op1(docs: DataFrame) -> DataFrame:

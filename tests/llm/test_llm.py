@@ -130,6 +130,8 @@ def test_line_dedup_equals_brute_force(spark, none):
     assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in line_dedup.op1(d).collect()} == dedup(rows)
     assert line_dedup.dedup_lines(d).columns == d.columns and line_dedup.dedup_lines(d).count() == len(rows)
     assert line_dedup.op1(none).count() == 0
+    twice = spark.createDataFrame([(1, "a b\nc", "en", "s", 5), (2, "c\n\na b", "en", "s", 7), (3, "", "en", "s", 0), (4, "c\nd", "en", "s", 3)], DOCS)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(twice, drop_emptied=True).collect()} == {1: "a b\nc", 3: "", 4: "d"}
 
 
 def test_line_dedup_edges(edge):
