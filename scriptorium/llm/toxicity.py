@@ -5,7 +5,7 @@ odds), how near they stand to second-person words, capitals, punctuation, obfusc
 half of the training rows, so that its own label is not in its features.
 
 Bounds: at most MAX_ROWS labelled rows are fitted (those with the least hash of doc_id; the parameter bounds the sample) and MAX_TERMS
-lexicon entries are broadcast with the trees. Counts for the lexicon are aggregated on the executors; the driver gets numbers only.
+lexicon entries, out of MAX_CANDIDATES units of toxic documents, are broadcast with the trees. Counts for the lexicon are aggregated on the executors; the driver gets numbers only.
 Every whole text of the table is scored; labels, lang, source and doc_id are never inputs of a score.
 
 Defined cases: null text is empty; without labelled rows of both kinds the score is their share (0 without any);
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-MAX_ROWS, MAX_TERMS, MIN_DOCS, MIN_SHARE = 50_000, 5_000, 5, 0.5
+MAX_ROWS, MAX_TERMS, MAX_CANDIDATES, MIN_DOCS, MIN_SHARE = 50_000, 5_000, 200_000, 5, 0.5
 ROUNDS, DEPTH, RATE, BINS, MIN_LEAF, RIDGE = 80, 3, 0.12, 48, 15, 2.0
 PREFIXES = (4, 5, 6, 7, 8, 9)
 CUT = 0.7
@@ -54,9 +54,10 @@ class Lexicon:
 
     def __init__(self, odds: dict[str, float]):
         self.odds, self.known = odds, {}
+        self.heads = {u.rstrip("*")[: PREFIXES[0]] for u in odds}  # a word that begins otherwise has no unit here
 
     def __getstate__(self):
-        return {"odds": self.odds, "known": {}}
+        return {"odds": self.odds, "heads": self.heads, "known": {}}
 
     def weight(self, word: str) -> float:
         return max((self.odds.get(u, 0.0) for u in units(word)), default=0.0)
@@ -68,7 +69,7 @@ class Lexicon:
         found = list(map(self.known.get, words))
         if None in found:
             for w in set(words).difference(self.known):
-                self.known[w] = self.weight(w)
+                self.known[w] = self.weight(w) if w[: PREFIXES[0]] in self.heads else 0.0
             found = list(map(self.known.get, words))
         return found
 
@@ -189,28 +190,36 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     # at most MAX_ROWS ids are broadcast, so the texts of the corpus are not shuffled
     rows = stored(docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id").dropDuplicates(["doc_id"]), "labelled")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            seen: dict[tuple[str, int], list[int]] = {}
-            totals = np.zeros((2, 2), dtype=int)
-            for doc, text, y in zip(b["doc_id"], b["text"], b["y"], strict=True):
-                h = _half(doc)
-                totals[h, y] += 1
-                for u in {u for w in set(WORD.findall((text or "").lower())) for u in units(w)}:
-                    seen.setdefault((u, h), [0, 0])[y] += 1
-            yield pd.DataFrame([(u, h, a, p) for (u, h), (a, p) in seen.items()] + [("", h, int(totals[h, 0]), int(totals[h, 1])) for h in (0, 1)], columns=["u", "h", "a", "p"])
-
-    counts = rows.mapInPandas(count, "u string, h int, a long, p long").groupBy("u").agg(*[F.sum(F.when(F.col("h") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("a", "p")])
-    totals = counts.where("u = ''").first()
-    if not totals or not (totals["p0"] + totals["p1"]) or not (totals["a0"] + totals["a1"]):
-        p, a = (totals["p0"] + totals["p1"], totals["a0"] + totals["a1"]) if totals else (0, 0)
+    totals = {(r["h"], r["y"]): r["n"] for r in rows.select(F.pmod(F.crc32(F.concat(F.lit("half "), F.col("doc_id").cast("string")).cast("binary")), F.lit(2)).alias("h"), "y").groupBy("h", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    p, a = (sum(v for (_, y), v in totals.items() if bool(y) is k) for k in (True, False))
+    if not p or not a:
         return Model(Lexicon({}), None, (np.zeros(1), np.zeros(1)), p / max(1, p + a))
-    pos, neg = F.col("p0") + F.col("p1"), F.col("a0") + F.col("a1")
-    some = counts.where((F.col("u") != "") & (pos >= MIN_DOCS) & (pos > MIN_SHARE * (pos + neg))).orderBy((pos / (neg + 1)).desc(), pos.desc(), "u").limit(MAX_TERMS).toPandas()
+
+    def counts(which: DataFrame, only=None) -> DataFrame:
+        """u, n0, n1: documents of each half with a unit; of all units or of those in the broadcast set."""
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                seen: dict[str, list[int]] = {}
+                for doc, text in zip(b["doc_id"], b["text"], strict=True):
+                    h = _half(doc)
+                    for u in {u for w in set(WORD.findall((text or "").lower())) for u in units(w) if only is None or u in only.value}:
+                        seen.setdefault(u, [0, 0])[h] += 1
+                yield pd.DataFrame([(u, *n) for u, n in seen.items()], columns=["u", "n0", "n1"]).astype({"u": object, "n0": "int64", "n1": "int64"})
+
+        return which.mapInPandas(count, "u string, n0 long, n1 long").groupBy("u").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+    # units of toxic documents first: few documents; of the others only what occurs there is counted
+    yes = counts(rows.where("y = 1")).where(F.col("n0") + F.col("n1") >= MIN_DOCS).orderBy((F.col("n0") + F.col("n1")).desc(), "u").limit(MAX_CANDIDATES).toPandas()
+    wanted = spark.sparkContext.broadcast(frozenset(yes["u"]))
+    no = counts(rows.where("y = 0"), wanted).toPandas()
+    some = yes.merge(no, on="u", how="left", suffixes=("p", "a")).fillna({"n0a": 0, "n1a": 0}).rename(columns={"n0p": "p0", "n1p": "p1", "n0a": "a0", "n1a": "a1"})
+    pos, neg = some["p0"] + some["p1"], some["a0"] + some["a1"]
+    some = some[pos > MIN_SHARE * (pos + neg)].assign(odds=pos / (neg + 1), pos=pos).sort_values(["odds", "pos", "u"], ascending=[False, False, True]).head(MAX_TERMS)
 
     def lexicon(halves: tuple[int, ...]) -> Lexicon:
         p, a = sum(some[f"p{h}"] for h in halves), sum(some[f"a{h}"] for h in halves)
-        np_, na = (sum(totals[f"{c}{h}"] for h in halves) for c in "pa")
+        np_, na = (sum(totals.get((h, y), 0) for h in halves) for y in (1, 0))
         odds = np.log((p + 0.5) / (np_ + 1)) - np.log((a + 0.5) / (na + 1))
         # by its lower bound, as a rare unit's odds mean less
         low = odds - np.sqrt(1 / (p + 0.5) + 1 / (a + 0.5)) * 0.5
