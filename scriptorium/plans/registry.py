@@ -6,6 +6,7 @@ embeddings are vectors of passages, conversations are overlapping chunks of a pa
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,13 @@ from pyspark.sql import functions as F
 from ..functions import isri
 from ..functions import text as T
 from ..operators import catalog as C
-from ..operators import corpus, metrics, vector
+from ..operators import corpus, library, metrics, vector
 from ..operators.chunk import chunk, paginate
 from ..operators.index import Index, search
 from ..operators.search import Archive, filtered, highlight_spans, like, payload_filtered
-from ..session import ship
+from ..session import shared_dir, ship
+from ..sources.files import free_name
+from ..streaming.ingest import ingest_batch
 from . import query as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -682,3 +685,51 @@ def m6_summary(t, spark):
 def m7_deviation(t, spark):
     return t("part").select("p_partkey", F.abs(F.col("p_size") - 25).cast("bigint").alias("deviation"))
 
+
+
+# -- sinks, sources, streams --------------------------------------------------------------------------------------------
+
+@query("SELECT doc_id, md5(regexp_replace(replace(text, '. ', ' \tً. '), '[ \t]+([ً-ٰ])', '\\1', 'g')) AS clean_md5 FROM documents".replace("\t", "\\t").replace("' \\tً", "' ' || chr(9) || 'ً"))
+def f7_clean_pdf_text(t, spark):
+    x = F.replace("text", F.lit(". "), F.lit(" \tً. "))
+    return t("documents").select("doc_id", F.md5(T.clean_pdf_text(x)).alias("clean_md5"))
+
+
+@query("SELECT doc_id AS document_id, CASE WHEN doc_id % 4 = 0 THEN 'exakt' ELSE 'sicher' END AS reliability FROM documents")
+def p10_null_defaults(t, spark):
+    raw = F.when(F.col("doc_id") % 4 == 0, "exakt").when(F.col("doc_id") % 4 == 1, "")
+    return t("documents").select(F.col("doc_id").alias("document_id"), F.coalesce(F.nullif(raw, F.lit("")), F.lit("sicher")).alias("reliability"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)")
+def j11_in_list(t, spark):
+    return t("orders").join(t("customer").where("c_nationkey = 7").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select("o_orderkey")
+
+
+@query(f"""WITH i AS ({IMPORT}0), p AS ({IMPORT}1), n AS (SELECT * FROM i WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.title = i.title AND p.page_count = i.page_count)),
+k AS (SELECT * FROM n WHERE page_count IS NULL OR document_id = (SELECT min(document_id) FROM n m WHERE m.title = n.title AND m.page_count = n.page_count))
+SELECT document_id, title FROM p UNION ALL SELECT (SELECT max(document_id) FROM p) + row_number() OVER (ORDER BY document_id), title FROM k""")
+def s13_export_import(t, spark):
+    """Even documents are exported and imported into a library of the odd ones."""
+    d = t("documents").select(F.col("doc_id").alias("document_id"), F.left("text", F.lit(12)).alias("title"), F.col("source").alias("author"), F.when(F.col("doc_id") % 10 != 0, F.col("n_chars")).alias("page_count"))
+    tables = lambda k: {"documents": d.where(F.col("document_id") % 2 == k), "passages": passages(t).where(F.col("document_id") % 2 == k).select("passage_id", "document_id", "text")}
+    at = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    library.export_library(tables(0), at)
+    return library.import_library(spark, tables(1), at)["documents"].select("document_id", "title")
+
+
+@query(f"SELECT document_id, page_no, md5(text) AS text_md5 FROM {PAGES}")
+def stream_ingest(t, spark):
+    """The documents as a stream of files, ingested batch by batch; the pages that have been written."""
+    at = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    d = t("documents")
+    folder, _, name = d.inputFiles()[0].rpartition("/")  # a file of its own, or one of a folder of files
+    stream = spark.readStream.schema(d.schema).option("pathGlobFilter", "*.parquet" if folder.endswith(".parquet") else name)
+    rows = stream.parquet(folder).select(F.col("doc_id").alias("document_id"), "text", "lang")
+    rows.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(lambda b, n: ingest_batch(b, at, n)).start().awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/pages").select("document_id", "page_no", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT 'a-3.txt' AS name")
+def s15_upload_name(t, spark):
+    return spark.createDataFrame([(free_name("x/a.txt", {"a.txt", "a-2.txt"}),)], "name string")
