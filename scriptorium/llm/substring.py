@@ -32,8 +32,6 @@ SIZE, GRAM = 20, 6
 RUN = "doc_id long, th long, g long, r long, s int, z int"
 #: remove_known broadcasts a shard of this many reference words (an automaton has at most twice as many states).
 SHARD_WORDS = 200_000
-#: Minimizers met twice or more are broadcast up to so many (a long each), joined by shuffle beyond.
-BROADCAST_GRAMS = 2_000_000
 
 
 def _words(text: object) -> list[bytes]:
@@ -114,10 +112,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     # twice or more; rows of the same document count once for each place, so a repeated row costs a few rows more and changes nothing
     twice = docs.select("text").mapInPandas(_find_minimizers, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-    # a table of its own on either side, so that the join can split a hot minimizer
-    twice = stored(twice, "twice")
-    known = F.broadcast(twice) if twice.count() <= BROADCAST_GRAMS else twice
-    runs = stored(keyed.mapInPandas(_find_runs, RUN).join(known, "g", "left_semi"), "runs")
+    twice = stored(twice, "twice")  # a table of its own, so that the join can split a hot minimizer
+    runs = stored(keyed.mapInPandas(_find_runs, RUN).join(twice, "g", "left_semi"), "runs")
     place = F.struct("doc_id", "th", "s", "z")
     kinds = stored(runs.groupBy("g", "r").agg(F.min(place).alias("first")), "kinds")
     k = kinds.select("g", "r", F.col("first.doc_id").alias("fd"), F.col("first.th").alias("ft"), F.col("first.s").alias("fs"))
@@ -130,7 +126,6 @@ def repeats(docs: DataFrame) -> DataFrame:
     texts = keyed.alias("a").join(close.alias("b"), c).select("a.doc_id", "a.th", "a.text", "b.runs")
     windows = stored(texts.mapInPandas(_find_windows, "doc_id long, th long, g long, w long, s int"), "windows")
     firsts = windows.groupBy("g", "w").agg(F.min(F.struct("doc_id", "th", "s")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "w", "f")
-    firsts = stored(firsts, "firsts")
     single = windows.join(firsts, ["g", "w"]).where(~F.struct("doc_id", "th", "s").eqNullSafe(F.col("f")))
     both = later.union(single.select("doc_id", "th", "s", (F.col("s") + F.lit(1)).alias("z")))
     return both.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "z")).alias("runs"))
