@@ -1,9 +1,10 @@
 """PII by information-theoretic sanitisation.
 
-Base patterns (email, ip, card, phone) give protected entities. Terms near an entity are weighed by what they
+Base patterns (email, ip, card, phone) give protected entities. Terms of the documents that hold an entity are weighed by what they
 disclose of it: the pointwise information log2(P(entity | term) / P(entity)) over documents, from co-occurrence counts of
 the whole corpus and the document frequency of every word. A term that occurs with an entity in at least MIN_SUPPORT documents,
-predicts it with at least MIN_POSTERIOR and discloses at least MIN_BITS is a span of kind `term` near that entity; `sanitise` removes it.
+predicts it with at least MIN_POSTERIOR and discloses at least MIN_BITS is a span of kind `term` wherever it stands, in any document;
+`sanitise` removes it.
 
 Per-document work is linear: the four patterns have no start from which a long text is scanned again.
 Defined cases: null text is empty; repeated rows get equal results each; an empty table gives no rows.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of an entity that count as near it; documents with term and entity; P(entity | term); bits.
-NEAR, MIN_SUPPORT, MIN_POSTERIOR, MIN_BITS = 4, 3, 0.5, 4.0
+#: Documents with term and entity; P(entity | term); bits.
+MIN_SUPPORT, MIN_POSTERIOR, MIN_BITS = 3, 0.5, 4.0
+#: Disclosing terms go to the workers as a set up to so many (below 100 bytes each), are joined by shuffle beyond.
+BROADCAST_TERMS = 200_000
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -31,7 +35,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
 DIGIT = re.compile(r"[0-9]")
-FOUND = "doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<e:string,t:string,s:int,z:int>>"
+FOUND = "doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long"
 
 
 def luhn(digits: str) -> bool:
@@ -71,56 +75,102 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def near_terms(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words near each entity, outside all base spans."""
-    out, ends = [], sorted((a, b) for _, a, b in found)
-    for kind, a, b in found:
-        entity = f"{kind}:{text[a:b].lower()}"
-        left = [m for m in TERM.finditer(text, max(0, a - 200), a)][-NEAR:]
-        right = [m for m in TERM.finditer(text, b, min(len(text), b + 200))][:NEAR]
-        for m in left + right:
-            if not any(x < m.end() and m.start() < y for x, y in ends):
-                out.append((entity, m[0].lower(), m.start(), m.end()))
-    return out
+def terms(text: str, found: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words outside all base spans, in order. Counts and marks both come from here."""
+    ends, i = sorted((a, b) for _, a, b in found), 0
+    for m in TERM.finditer(text):
+        while i < len(ends) and ends[i][1] <= m.start():
+            i += 1
+        if i == len(ends) or ends[i][0] >= m.end():
+            yield m[0].lower(), m.start(), m.end()
+
+
+def vocabulary(text: str, found: list[tuple[str, int, int]]) -> set[str]:
+    return {t for t, _, _ in terms(text, found)} if found else {w.lower() for w in set(TERM.findall(text))}
 
 
-def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _holders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents with an entity: their entities and their terms."""
     for b in batches:
         rows = []
         for doc, th, text in zip(b["doc_id"], b["th"], b["text"], strict=True):
-            text = text if isinstance(text, str) else ""
-            found = spans(text)
-            said = ",".join(f"{k}:{s}:{e}" for k, s, e in found)
-            rows.append((doc, th, *(sum(k == x for x, _, _ in found) for k in KINDS), hashlib.sha256(said.encode()).hexdigest(), said, [dict(zip("etsz", x, strict=True)) for x in near_terms(text, found)]))
-        yield pd.DataFrame(rows, columns=["doc_id", "th", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
-
-
-def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(e, t, bits): entity-term pairs beyond the thresholds. Counts are of distinct document texts by id, over all rows."""
-    pairs = found.select("doc_id", "th", F.explode_outer("near").alias("x")).where("x is not null").select("doc_id", "th", "x.e", "x.t").distinct()
-    both = pairs.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= MIN_SUPPORT)
-    entity = pairs.select("doc_id", "th", "e").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    # document frequency of every word of the corpus: partial sums per task, then one row per word
-    words = docs.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)([^\W\d_]{3,})"), 1))).alias("t")).where("t is not null")
-    df = words.groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    out = both.join(df, "t").join(entity, "e")
+            if isinstance(text, str) and (found := spans(text)):
+                rows.append((doc, th, sorted({f"{k}:{text[s:e].lower()}" for k, s, e in found}), sorted(vocabulary(text, found))))
+        if rows:
+            yield pd.DataFrame(rows, columns=["doc_id", "th", "e", "t"])
+
+
+def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents of a batch with each term."""
+    for b in batches:
+        n = Counter()
+        for text in b["text"]:
+            if isinstance(text, str):
+                n.update(vocabulary(text, spans(text)))
+        if n:
+            yield pd.DataFrame({"t": list(n), "n": list(n.values())})
+
+
+def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each document with each of its terms."""
+    for b in batches:
+        for doc, th, text in zip(b["doc_id"], b["th"], b["text"], strict=True):
+            rows = [(doc, th, t) for t in vocabulary(text, spans(text))] if isinstance(text, str) else []
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "th", "t"])
+
+
+def disclosing(docs: DataFrame) -> DataFrame:
+    """(e, t, bits): entity-term pairs beyond the thresholds. docs: doc_id, th, text. Co-occurrence is counted over whole documents,
+    of distinct texts by id; document frequencies are of all rows.
+
+    n_et <= n_e and n_et <= n_t, so the thresholds themselves rule out entities of fewer than MIN_SUPPORT documents or more than
+    2^-MIN_BITS of all, and pairs with n_t > n_e / MIN_POSTERIOR; these are not paired.
+    """
+    total = float(max(docs.count(), 1))
+    held = stored(docs.mapInPandas(_holders, "doc_id long, th long, e array<string>, t array<string>").dropDuplicates(["doc_id", "th"]), "pii")
+    entities = held.select("doc_id", "th", F.explode_outer("e").alias("e"))
+    n_e = entities.groupBy("e").agg(F.count(F.lit(1)).alias("n_e")).where((F.col("n_e") >= MIN_SUPPORT) & (F.col("n_e") <= total / 2**MIN_BITS))
+    entities = stored(entities.join(n_e, "e"), "entities")
+    df = docs.mapInPandas(_frequencies, "t string, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
+    most = entities.agg(F.max("n_e")).first()[0] or 0
+    df = df.where(F.col("n_t").between(MIN_SUPPORT, int(most / MIN_POSTERIOR)))
+    k = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.th") == F.col("b.th")]
+    holders = held.alias("a").join(entities.select("doc_id", "th").distinct().alias("b"), k, "left_semi")
+    words = holders.select("doc_id", "th", F.explode_outer("t").alias("t")).join(df, "t")
+    both = entities.alias("a").join(words.alias("b"), [*k, F.col("b.n_t") * MIN_POSTERIOR <= F.col("a.n_e")])
+    both = both.groupBy("a.e", "b.t", "a.n_e", "b.n_t").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= MIN_SUPPORT)
     posterior = F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0))
-    bits = F.log2(posterior / (F.col("n_e") / F.lit(float(max(total, 1)))))
-    return out.withColumn("bits", bits).where((posterior >= MIN_POSTERIOR) & (F.col("bits") >= MIN_BITS)).select("e", "t", "bits")
+    bits = F.log2(posterior / (F.col("n_e") / F.lit(total)))
+    return both.withColumn("bits", bits).where((posterior >= MIN_POSTERIOR) & (F.col("bits") >= MIN_BITS)).select("e", "t", "bits")
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """One row per document: base counts and digest, and `spans` with the terms that the method adds."""
+    """One row per document: base counts and digest, and `spans` with every occurrence of the terms that the method adds."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    found = stored(keyed.mapInPandas(_find, FOUND), "pii")
-    terms = disclosing(found, docs.select("text"))
-    uses = found.select("doc_id", "th", F.explode_outer("near").alias("x")).where("x is not null").select("doc_id", "th", "x.*").join(terms, ["e", "t"], "left_semi")
-    added = uses.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("s", "z"))).alias("terms"))
-    k = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.th") == F.col("b.th")]
-    text = F.transform("b.terms", lambda x: F.concat(F.lit("term:"), x["s"].cast("string"), F.lit(":"), x["z"].cast("string")))
-    spans_ = F.concat_ws(",", F.nullif(F.col("a.base"), F.lit("")), F.nullif(F.array_join(text, ","), F.lit("")))
-    return found.drop("near").alias("a").join(added.alias("b"), k, "left").select("a.*", spans_.alias("spans"), F.coalesce(F.size("b.terms"), F.lit(0)).cast("bigint").alias("n_term"))
+    found = stored(disclosing(keyed).select("t").distinct(), "terms")
+    known = None
+    if found.count() <= BROADCAST_TERMS:
+        known = frozenset(r.t for r in found.collect())
+        keyed = keyed.withColumn("wanted", F.lit(None).cast("array<string>"))
+    else:
+        wanted = keyed.mapInPandas(_pairs, "doc_id long, th long, t string").join(found.hint("merge"), "t")
+        wanted = wanted.groupBy("doc_id", "th").agg(F.collect_set("t").alias("wanted")).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), "wanted")
+        keyed = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__h")), "left").select("doc_id", "th", "text", "wanted")
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for doc, th, text, wanted in zip(b["doc_id"], b["th"], b["text"], b["wanted"], strict=True):
+                text = text if isinstance(text, str) else ""
+                base = spans(text)
+                said = [f"{k}:{s}:{e}" for k, s, e in base]
+                mine = known if known is not None else frozenset(wanted) if wanted is not None else frozenset()
+                added = [] if not mine or mine.isdisjoint(vocabulary(text, base)) else [f"term:{s}:{e}" for t, s, e in terms(text, base) if t in mine]
+                rows.append((doc, th, *(sum(k == x for x, _, _ in base) for k in KINDS), hashlib.sha256(",".join(said).encode()).hexdigest(), ",".join(said + added), len(added)))
+            yield pd.DataFrame(rows, columns=["doc_id", "th", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term"])
+
+    return keyed.mapInPandas(mark, FOUND)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

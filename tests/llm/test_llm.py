@@ -443,6 +443,22 @@ def test_pii_disclosing_terms(spark):
     assert "zor@" not in clean[0] and "Zorbalon" not in clean[0] and clean[100] == rows[5][1]
 
 
+def test_pii_terms_far_from_the_entity(spark, monkeypatch):
+    """Terms are counted over whole documents and marked wherever they stand, also without the entity; both ways of marking agree."""
+    far = " ".join(["plain words of no weight"] * 60)
+    rows = [(i, f"Zorbalon {far} zor@mail.example {far} Zorbalon") for i in range(5)] + [(10, f"{far} zorbalon {far}"), (11, None)]
+    rows += [(100 + i, far) for i in range(200)]
+    d = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    want = {i: [m.span() for m in re.finditer("zorbalon", (t or "").lower())] for i, t in rows}
+    for bound in (pii.BROADCAST_TERMS, -1):
+        monkeypatch.setattr(pii, "BROADCAST_TERMS", bound)
+        out = {r.doc_id: r for r in pii.op8(d).collect()}
+        assert len(out) == len(rows)
+        for i in want:
+            assert [tuple(map(int, s.split(":")[1:])) for s in out[i].spans.split(",") if s.startswith("term")] == want[i] and out[i].n_term == len(want[i])
+    assert "zorbalon" not in " ".join((r.text or "").lower() for r in pii.sanitise(d).collect())
+
+
 # -- chat ---------------------------------------------------------------------------------------------------------------
 
 def test_chat_rotation(spark, small):
