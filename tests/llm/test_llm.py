@@ -262,6 +262,20 @@ def test_tokens_equal_the_tokenizers_library(small):
     assert [x.ids for x in t.encode_batch(said, add_special_tokens=False)] == [e.encode_ordinary(x) for x in said]
 
 
+def test_tokens_of_texts_that_hold_an_added_token(spark):
+    """Against tokenizers with its defaults: the literal of an added token is one id."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(P.path("byte_bpe_50k.json")), random.Random(8)
+    parts = ["<|endoftext|>", "<|endof", "text|>", "<|", " ", "\n", "a word", "'s", "é", "日", "12"]
+    said = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n"] + ["".join(rng.choices(parts, k=8)) for _ in range(500)]
+    want = [[*x.ids, packing.END] for x in t.encode_batch(said, add_special_tokens=False)]
+    assert any(50256 in x for x in want)
+    d = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    assert {r.doc_id: list(r.ids) for r in packing.cut(d, with_ids=True).collect()} == dict(enumerate(want))
+
+
 def placed(rows, docs):
     e = packing.tokenizer()
     ids = Counter()
