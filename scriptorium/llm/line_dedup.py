@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join. Native DataFrame functions only.
 
-A line's symbols are its words; lines of MIN_WORDS to MAX_WORDS words are equal within one edit (a word
+A line's symbols are its words; lines of MIN_WORDS words or more are equal within one edit (a word
 inserted, deleted or replaced), other lines when their words are equal. A line that has such an earlier line
 (smaller doc_id, then line number) goes; the earliest stays. Blank lines stay.
 
@@ -10,6 +10,8 @@ inserted, deleted or replaced), other lines when their words are equal. A line t
 3. Each candidate emits its variants as hashed keys: the line itself and the line without one word (an insertion or deletion
    makes one line's variant the other line), and the line without word i under i (a replacement makes those equal).
    Words that the shared beginning or end rules out as the edit are not deleted.
+   Pairs whose longer line has over BLOCKED words go by blocks, as n variants of n words are too many: a line is cut at each of about
+   sqrt(n) blocks of sqrt(n) words, and only blocks outside which it equals another line emit variants, of the block's words alone.
 4. Keys are counted; those met once go. Of lines with equal variants the earliest is kept, by an aggregation by key: no pairs
    within a group, so a variant that thousands of lines share costs thousands of rows.
 5. Each line and the earlier one found for it are compared word by word before anything is removed.
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import BLANK_RUN, BLANKS, stored
 
-MIN_WORDS, MAX_WORDS = 8, 512
+MIN_WORDS = 8
+#: Pairs whose longer line has more words are compared by blocks. Both ways are exact; this is a matter of speed.
+BLOCKED = 512
 #: What is found per line or document is broadcast up to so many lines (below 100 bytes each), joined by shuffle beyond.
 BROADCAST_LINES = 1_000_000
 
@@ -65,7 +69,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", F.xxhash64("text").alias("th"), _odd(F.col("text")).alias("odd"), F.split("text", "\n").alias("raw"))
     d = d.select("doc_id", "th", "odd", F.posexplode_outer("raw").alias("i", "raw"))
     d = d.select("doc_id", "th", "i", _plain(F.col("raw"), F.col("odd")).alias("line")).where("line != ''").withColumn("n", _n_words(F.col("line")))
-    d = d.withColumn("p", F.when(F.col("n").between(MIN_WORDS, MAX_WORDS), _p(F.col("n"))))
+    d = d.withColumn("p", F.when(F.col("n") >= MIN_WORDS, _p(F.col("n"))))
     ends = lambda p: [F.xxhash64(F.lit(1), p, _first(F.col("line"), p)), F.xxhash64(F.lit(2), p, _first(F.col("line"), -p))]
     small = F.floor(F.col("p") / 2).cast("int")
     both = (F.col("n") == F.col("p") * 2) & (F.col("n") > MIN_WORDS)
@@ -95,18 +99,59 @@ def _candidates(docs: DataFrame, keyed: DataFrame, kinds: DataFrame) -> DataFram
     return stored(lines, "candidates")
 
 
-def _similar(lines: DataFrame) -> DataFrame:
-    """h, h2 of the lines that have an earlier line within one edit."""
+def _blocks(lines: DataFrame) -> DataFrame:
+    """h, h2, out, line, n, longer: the blocks outside which lines equal another line, for pairs whose longer line has m > BLOCKED words.
+
+    m is a line's own number of words (longer) or one more. Word i of the longer line is in block (i - 1) / w; outside of it are the
+    words before and those after, as many for the other line. out is their hash, line the words between, n their number.
+    """
+    n = F.col("n")
+
+    def cuts(m):
+        w = F.ceil(F.sqrt(m.cast("double"))).cast("int")
+        block = lambda i: F.floor((i - F.lit(1)) / w).cast("int")
+
+        def cut(j):
+            before, after = (j * w).cast("int"), F.greatest(m - (j + F.lit(1)) * w, F.lit(0)).cast("int")
+            return F.struct((m == n).alias("longer"), before.alias("before"), after.alias("after"), F.xxhash64(m, j, _first(F.col("line"), before), _first(F.col("line"), -after)).alias("out"))
+
+        return F.transform(F.sequence(block(F.col("lo")), block(F.col("hi") + m - n)), cut)
+
+    sizes = F.filter(F.array(n, n + F.lit(1)), lambda m: m > BLOCKED)
+    cut = lines.where(n >= BLOCKED).select("h", "h2", F.flatten(F.transform(sizes, cuts)).alias("cuts"))
+    cut = stored(cut.select("h", "h2", F.explode_outer("cuts").alias("x")).select("h", "h2", "x.*"), "blocks")
+    shared = cut.groupBy("out").agg(F.min("h2").alias("a"), F.max("h2").alias("b")).where("a != b").select("out")
+    shared = stored(shared, "shared-blocks")
+    of = cut.join(shared, "out").groupBy("h", "h2").agg(F.collect_set(F.struct("longer", "before", "after", "out")).alias("cuts"))
+
+    def between(x):
+        size = (n - x["before"] - x["after"]).cast("int")
+        return F.struct(x["out"].alias("out"), _first(_first(F.col("line"), x["before"] + size), -size).alias("line"), size.alias("n"), x["longer"].alias("longer"))
+
+    found = lines.join(of, ["h", "h2"]).select("h", "h2", F.transform("cuts", between).alias("x"))
+    return found.select("h", "h2", F.explode_outer("x").alias("x")).select("h", "h2", "x.*")
+
+
+def _variants(lines: DataFrame, own: Column, less: Column) -> DataFrame:
+    """h, h2, kind, key: hashes of `line` with `out` (null: none), where own, and without each word from lo to hi, where less."""
+
     def without(i):
         return F.trim(F.concat(_first(F.col("line"), i - F.lit(1)), F.lit(" "), _first(F.col("line"), i - F.col("n"))))
 
-    less = F.transform(F.sequence(F.col("lo"), F.col("hi")), lambda i: F.struct(i.alias("i"), F.xxhash64(without(i)).alias("key")))
-    v = lines.select("h", "h2", F.xxhash64("line").alias("own"), less.alias("less"))
-    own = F.array(F.struct(F.lit(0).alias("kind"), F.col("own").alias("key")))
+    cut = F.transform(F.sequence(F.col("lo"), F.col("hi")), lambda i: F.struct(i.alias("i"), F.xxhash64("out", without(i)).alias("key")))
+    v = lines.select("h", "h2", F.when(own, F.xxhash64("out", "line")).alias("own"), F.when(less, cut).otherwise(F.array().cast("array<struct<i:int,key:bigint>>")).alias("less"))
+    own = F.filter(F.array(F.struct(F.lit(0).alias("kind"), F.col("own").alias("key"))), lambda x: x["key"].isNotNull())
     # a line and its shorter variants share keys; replacements have keys of their own
     shorter = F.array_distinct(F.transform("less", lambda x: F.struct(F.lit(1).alias("kind"), x["key"].alias("key"))))
     swap = F.transform("less", lambda x: F.struct(F.lit(2).alias("kind"), F.xxhash64(x["key"], x["i"]).alias("key")))
-    v = v.select("h", "h2", F.explode_outer(F.concat(own, shorter, swap)).alias("x")).select("h", "h2", F.col("x.kind").cast("byte").alias("kind"), "x.key")
+    return v.select("h", "h2", F.explode_outer(F.concat(own, shorter, swap)).alias("x")).select("h", "h2", F.col("x.kind").cast("byte").alias("kind"), "x.key")
+
+
+def _similar(lines: DataFrame) -> DataFrame:
+    """h, h2 of the lines that have an earlier line within one edit."""
+    whole = lines.where(F.col("n") <= BLOCKED).withColumn("out", F.lit(None).cast("bigint"))
+    blocks = _blocks(lines).withColumns({"lo": F.lit(1), "hi": F.greatest("n", F.lit(1))})
+    v = _variants(whole, F.lit(True), F.lit(True)).union(_variants(blocks, ~F.col("longer"), F.col("longer")))
     v = stored(v, "variants")
     twice = v.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     met = v.join(twice, "key", "left_semi").join(lines.select("h", "h2", "place"), ["h", "h2"])

@@ -134,6 +134,44 @@ def test_line_dedup_equals_brute_force(spark, none):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(twice, drop_emptied=True).collect()} == {1: "a b\nc", 3: "", 4: "d"}
 
 
+def unbounded(rows):
+    """op1's figures by brute force, with one edit for every line of 8 words or more."""
+    seen, out = [], {}
+    for i, t in rows:
+        kept = []
+        for line in t.split("\n"):
+            w = tuple(WORD.findall(line))
+            kept += [] if w and any(w == x or len(w) >= 8 <= len(x) and near(w, x) for x in seen) else [line]
+            seen += [w] if w else []
+        out[i] = (t.count("\n") + 1 - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
+    return out
+
+
+def edited(rng, words, vocabulary, times):
+    w = list(words)
+    for _ in range(times):
+        at, kind = rng.randrange(max(len(w), 1)), rng.randrange(3)
+        w[at : at + (kind > 0)] = [rng.choice(vocabulary)] * (kind < 2)
+    return w
+
+
+@pytest.mark.parametrize("bound", [512, 8])
+def test_line_dedup_of_long_lines(spark, monkeypatch, bound):
+    """Lines around and far above the length from which pairs are compared by blocks; few distinct words, so that edits have several places."""
+    monkeypatch.setattr(line_dedup, "BLOCKED", bound)
+    rng, vocabulary, pool, rows = random.Random(6), [f"v{i}" for i in range(4)], [], []
+    for n in [511, 512, 513, 600, 1023, 1024, 1025, 3000] if bound == 512 else range(8, 40):
+        pool.append([rng.choice(vocabulary) for _ in range(n)])
+        pool += [edited(rng, rng.choice(pool[-5:]), vocabulary, rng.choice([1, 1, 2])) for _ in range(6)]
+        pool += [pool[-1][1:], pool[-1][:-1]]
+    rng.shuffle(pool)
+    rows = [(i, " ".join(w)) for i, w in enumerate(pool)]
+    d = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    want = unbounded(rows)
+    assert sum(n for n, _ in want.values()) > 20
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in line_dedup.op1(d).collect()} == want
+
+
 def test_line_dedup_edges(edge):
     got = line_dedup.op1(edge).collect()
     assert len(got) == edge.count()
