@@ -511,6 +511,14 @@ def test_pii_terms_far_from_the_entity(spark, monkeypatch):
     assert "zorbalon" not in " ".join((r.text or "").lower() for r in pii.sanitise(d).collect())
 
 
+def test_pii_terms_with_combining_marks(spark):
+    """Both sides of the counts take the same words, also of decomposed accents."""
+    rows = [(i, "Jose\u0301phine writes from jo@mail.example") for i in range(4)] + [(100 + i, "nothing of weight writes from here") for i in range(200)]
+    d = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    got = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
+    assert "Jose" not in got[0] and "phine" not in got[0]
+
+
 # -- chat ---------------------------------------------------------------------------------------------------------------
 
 def test_chat_rotation(spark, small):
