@@ -663,9 +663,9 @@ def m4_tashkil(t, spark):
 
 @query()
 def m1_similarity(t, spark):
-    """Each benchmark text with the beginning of the document of its number."""
+    """Each benchmark text with the whole document of its number."""
     b = t("benchmark").join(t("documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("other")), "item_id")
-    return b.select("item_id", F.round(metrics.similarity(F.col("text"), F.left("other", F.length("text"))), 9).alias("similarity"), F.round(metrics.word_order(F.col("text"), F.left("other", F.length("text")), "([A-Za-z]+)"), 9).alias("word_order"))
+    return b.select("item_id", F.round(metrics.similarity(F.col("text"), F.col("other")), 9).alias("similarity"), F.round(metrics.word_order(F.col("text"), F.col("other"), "([A-Za-z]+)"), 9).alias("word_order"))
 
 
 @query()

@@ -155,3 +155,11 @@ def test_streaming_ingest_is_exactly_once(spark, tmp_path):
     assert sorted(r.document_id for r in read("documents").collect()) == [1, 2, 3]
     assert sorted((r.document_id, r.page_no) for r in read("pages").collect()) == [(1, 1), (1, 2), (2, 1), (3, 1)]
     assert read("passages").where("document_id = 3").count() == 1
+
+
+def test_similarity_reads_the_whole_document(spark):
+    from scriptorium.plans import registry
+
+    tables = {"benchmark": spark.createDataFrame([(1, "alpha beta")], "item_id long, text string"), "documents": spark.createDataFrame([(1, "gamma wordy alpha beta")], "doc_id long, text string")}
+    row = registry.m1_similarity(tables.__getitem__, spark).first()
+    assert (row.similarity, row.word_order) == (62.5, round(200 * 2 / 6, 9))
