@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, ship, stored
+from .. import session
+from ..session import shared_dir, stored
 
 __all__ = ["ascii_lower", "blank_words", "covered", "shared_dir", "ship", "stored", "word_hashes"]
 
+#: Texts go to Python workers in batches of at most so many rows and bytes, so that a worker's memory doesn't follow the length of texts.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to Python workers and bound their batches. For the queries; a caller of the operators chooses for their session."""
+    session.ship(spark)
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+
+
 #: Separators of `[^\x20\x09-\x0D]+` words.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"

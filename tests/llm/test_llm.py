@@ -575,8 +575,52 @@ def test_substring_automaton(spark):
     known = " ".join(f"k{i}" for i in range(30))
     d = spark.createDataFrame([(1, f"a {known} b"), (2, None), (3, "k1 k2")], "doc_id long, text string")
     assert {r.doc_id: (r.text, r.n_removed) for r in substring.remove_known(d, [known]).collect()} == {1: ("a b", 30), 2: ("", 0), 3: ("k1 k2", 0)}
-    with pytest.raises(ValueError, match="shard"):
-        substring.remove_known(d, ["w " * (substring.SHARD_WORDS + 1)])
+
+
+@pytest.mark.parametrize("bound", [30, 200_000])
+def test_substring_known_over_shards(spark, edge, none, monkeypatch, bound):
+    """A reference of many shards, also with texts longer than one, against brute force."""
+    monkeypatch.setattr(substring, "SHARD_WORDS", bound)
+    rng, size = random.Random(12), 5
+    reference = [" ".join(rng.choice("abc") for _ in range(rng.randrange(0, 70))) for _ in range(4)] + ["", "\t\n"]
+    rows = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 60)))) for i in range(60)] + [(60, None), (None, reference[0])]
+    known = {tuple(w[i : i + size]) for w in map(str.split, reference) for i in range(len(w) - size + 1)}
+    want = []
+    for i, t in rows:
+        w = (t or "").split()
+        gone = {j for k in range(len(w) - size + 1) if tuple(w[k : k + size]) in known for j in range(k, k + size)}
+        want.append((i, " ".join(x for k, x in enumerate(w) if k not in gone), len(gone)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    check(substring.remove_known(d, reference, size).collect(), want)
+    assert substring.remove_known(edge, reference, size).count() == edge.count() and substring.remove_known(none, reference).count() == 0
+    assert substring.remove_known(d, [], size).count() == len(rows)
+
+
+def test_substring_by_shuffle(small, monkeypatch):
+    want = substring.op10(small["documents"]).collect()
+    monkeypatch.setattr(substring, "BROADCAST_BYTES", -1)
+    check(substring.op10(small["documents"]).collect(), want)
+
+
+def test_words_and_hashes_of_arrow_texts():
+    """Slices, nulls, empty texts, other blanks, long words; equal words have equal hashes, other words others."""
+    import pyarrow as pa
+
+    from scriptorium.llm import wordhash as H
+
+    rng = random.Random(13)
+    said = ["".join(rng.choice(["a", "B", "é", "\u00a0", "\x1c", " ", "\t", "\x0b", "\r\n", "", "x" * 300]) for _ in range(rng.randrange(0, 40))) for _ in range(300)] + [None, "", " "]
+    rng.shuffle(said)
+    for lower in (False, True):
+        for column in (pa.array(said), pa.array(said).slice(7, 200)):
+            names, rows = {}, column.to_pylist()
+            for k, to, w in H.steps(column, lower):
+                for i in range(k, to):
+                    b = (rows[i] or "").encode()
+                    b = (b.lower() if lower else b).split()
+                    h = w.h[w.first[i - k] : w.first[i - k + 1]].tolist()
+                    assert len(h) == len(b) and all(names.setdefault(x, y) == y for x, y in zip(b, h, strict=True))
+            assert len(set(names.values())) == len(names)
 
 
 # -- registration and the pipeline --------------------------------------------------------------------------------------
