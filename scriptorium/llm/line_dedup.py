@@ -1,12 +1,13 @@
 """Line dedup by a deletion-neighbourhood join. Native DataFrame functions only.
 
-A line's symbols are its words; lines of MIN_WORDS words or more are equal within one edit (a word
-inserted, deleted or replaced), other lines when their words are equal. A line that has such an earlier line
-(smaller doc_id, then line number) goes; the earliest stays. Blank lines stay.
+A line's symbols are its words if it has MIN_WORDS or more, else its characters if it has MIN_CHARS or more (words joined by one
+space). Lines with symbols of one kind are equal within one edit: a symbol inserted, deleted or replaced. Among characters a digit
+is no edit, as numbers tell apart lines that are equal otherwise (`chapter 1`, `chapter 2`). Shorter lines are equal when their words are.
+A line that has such an earlier line (smaller doc_id, then line number) goes; the earliest stays. Blank lines stay.
 
 1. Lines become hashes: only hashes are shuffled. Equal lines are one from here on (partially aggregated minimum).
-2. One edit leaves the first or the last words of a line whole: only lines that share their first or last P words with another line
-   (P: the power of two from a quarter to half of their words) are candidates, and only their texts are read again.
+2. One edit leaves the first or the last symbols of a line whole: only lines that share their first or last P symbols with another line
+   (P: the power of two from a quarter to half of their symbols) are candidates, and only their texts are read again.
 3. Each candidate emits its variants as hashed keys: the line itself and the line without one word (an insertion or deletion
    makes one line's variant the other line), and the line without word i under i (a replacement makes those equal).
    Words that the shared beginning or end rules out as the edit are not deleted.
@@ -14,10 +15,11 @@ inserted, deleted or replaced), other lines when their words are equal. A line t
    sqrt(n) blocks of sqrt(n) words, and only blocks outside which it equals another line emit variants, of the block's words alone.
 4. Keys are counted; those met once go. Of lines with equal variants the earliest is kept, by an aggregation by key: no pairs
    within a group, so a variant that thousands of lines share costs thousands of rows.
-5. Each line and the earlier one found for it are compared word by word before anything is removed.
+5. Each line and the earlier one found for it are compared symbol by symbol before anything is removed. (Lines are merged as equal by 96 bits.)
 
 Defined cases: null text is empty, has one blank line, and comes back null; repeated rows (same id and text) are one document
-and get equal results; rows of one id with other texts are in the order of the texts' hashes; empty tables give no rows.
+and get equal results; rows of one id with other texts are in the order of the texts' hashes; empty tables give no rows; extra
+columns come back as they are, whatever their names; a text of any number of lines is cut in linear time.
 """
 
 from __future__ import annotations
@@ -25,13 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, BLANKS, stored
+from .common import BLANK_RUN, BLANKS, bound, meet, packed, stored, unpacked
 
-MIN_WORDS = 8
+MIN_WORDS, MIN_CHARS = 8, 20
+#: Stand for the end of a character and for the space between words where symbols are characters (fixed values).
+END, SPACE = "\x1f", "\x1e"
+DIGIT = f"^\\p{{N}}{END}$"
 #: Pairs whose longer line has more words are compared by blocks. Both ways are exact; this is a matter of speed.
 BLOCKED = 512
-#: What is found per line or document is broadcast up to so many lines (below 100 bytes each), joined by shuffle beyond.
-BROADCAST_LINES = 1_000_000
 
 
 def _plain(line: Column, odd: Column) -> Column:
@@ -47,6 +50,12 @@ def _odd(text: Column) -> Column:
     return out
 
 
+def _symbols(plain: Column) -> Column:
+    """The symbols joined by single spaces; null for lines that are compared whole."""
+    chars = F.rtrim(F.regexp_replace(F.translate(plain, " ", SPACE), "(?s)(.)", f"$1{END} "))
+    return F.when(_n_words(plain) >= MIN_WORDS, plain).when(F.length(plain) >= MIN_CHARS, chars)
+
+
 def _n_words(plain: Column) -> Column:
     return F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit(""))) + F.lit(1)
 
@@ -63,18 +72,19 @@ def _p(n: Column) -> Column:
 def _keyed(docs: DataFrame) -> DataFrame:
     """Lines with a word, as hashes: doc_id, th, i (line number), h, h2 (96 bits name a line) and the keys of their ends.
 
-    A line of 2^k words has keys of both sizes, as a line of one word less has the smaller.
+    A line of 2^k symbols has keys of both sizes, as a line of one symbol less has the smaller.
     """
     # two steps: in one, what stands beside the generator is computed for each line, from the whole text
     d = docs.select("doc_id", F.xxhash64("text").alias("th"), _odd(F.col("text")).alias("odd"), F.split("text", "\n").alias("raw"))
     d = d.select("doc_id", "th", "odd", F.posexplode_outer("raw").alias("i", "raw"))
-    d = d.select("doc_id", "th", "i", _plain(F.col("raw"), F.col("odd")).alias("line")).where("line != ''").withColumn("n", _n_words(F.col("line")))
-    d = d.withColumn("p", F.when(F.col("n") >= MIN_WORDS, _p(F.col("n"))))
+    d = d.select("doc_id", "th", "i", _plain(F.col("raw"), F.col("odd")).alias("plain")).where("plain != ''").withColumn("line", _symbols(F.col("plain")))
+    d = d.withColumn("n", _n_words(F.col("line")))
+    d = d.withColumn("p", _p(F.col("n")))
     ends = lambda p: [F.xxhash64(F.lit(1), p, _first(F.col("line"), p)), F.xxhash64(F.lit(2), p, _first(F.col("line"), -p))]
     small = F.floor(F.col("p") / 2).cast("int")
     both = (F.col("n") == F.col("p") * 2) & (F.col("n") > MIN_WORDS)
     keys = F.when(F.col("p").isNull(), F.lit(None).cast("array<bigint>")).when(both, F.array(*ends(F.col("p")), *ends(small))).otherwise(F.array(*ends(F.col("p"))))
-    return d.select("doc_id", "th", "i", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), keys.alias("keys"))
+    return d.select("doc_id", "th", "i", F.xxhash64("plain").alias("h"), F.hash("plain").alias("h2"), keys.alias("keys"))
 
 
 def _candidates(docs: DataFrame, keyed: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -84,15 +94,12 @@ def _candidates(docs: DataFrame, keyed: DataFrame, kinds: DataFrame) -> DataFram
     shared = stored(shared, "shared")  # a table of its own, so that the join can split a hot end
     close = ends.join(shared, "k").groupBy("h", "h2").agg(F.max(F.col("e") % 2 == 0).alias("first"), F.max(F.col("e") % 2 == 1).alias("last"))
     close = stored(close.join(kinds, ["h", "h2"]), "close")
-    where = close.groupBy("place.doc_id", "place.th").agg(F.collect_list(F.struct("place.i", "h", "h2", "first", "last")).alias("at"))
-    if close.count() <= BROADCAST_LINES:
-        where = F.broadcast(where)
-    c = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.th") == F.col("b.th")]
+    where = stored(close.groupBy("place.doc_id", "place.th").agg(F.collect_list(F.struct("place.i", "h", "h2", "first", "last")).alias("at")), "where")
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    read = texts.alias("b").join(where.alias("a"), c).select("a.doc_id", "a.th", "a.at", F.split("b.text", "\n").alias("raw"))
+    read = meet(texts, where, "inner", F.lit(64) + F.size("at") * 64).select("doc_id", "th", "at", F.split("text", "\n").alias("raw"))
     read = read.select("doc_id", "th", F.explode_outer(F.transform("at", lambda x: F.struct(x.alias("at"), F.get(F.col("raw"), x["i"]).alias("raw")))).alias("x"))
     x, raw = "x.at.", F.col("x.raw")
-    lines = read.select(F.struct("doc_id", "th", F.col(x + "i").alias("i")).alias("place"), x + "h", x + "h2", x + "first", x + "last", _plain(raw, F.lit(True)).alias("line")).withColumn("n", _n_words(F.col("line")))
+    lines = read.select(F.struct("doc_id", "th", F.col(x + "i").alias("i")).alias("place"), x + "h", x + "h2", x + "first", x + "last", _symbols(_plain(raw, F.lit(True))).alias("line")).withColumn("n", _n_words(F.col("line")))
     n = F.col("n")
     p = F.when((n == _p(n) * 2) & (n > MIN_WORDS), F.floor(_p(n) / 2).cast("int")).otherwise(_p(n))
     lines = lines.select("place", "h", "h2", "line", "n", F.when(F.col("last"), F.lit(1)).otherwise(p + F.lit(1)).alias("lo"), F.when(F.col("first"), n).otherwise(n - p).alias("hi"))
@@ -138,7 +145,9 @@ def _variants(lines: DataFrame, own: Column, less: Column) -> DataFrame:
     def without(i):
         return F.trim(F.concat(_first(F.col("line"), i - F.lit(1)), F.lit(" "), _first(F.col("line"), i - F.col("n"))))
 
-    cut = F.transform(F.sequence(F.col("lo"), F.col("hi")), lambda i: F.struct(i.alias("i"), F.xxhash64("out", without(i)).alias("key")))
+    places = F.sequence(F.col("lo"), F.col("hi"))
+    edits = F.when(F.contains("line", F.lit(END)), F.filter(places, lambda i: ~_first(_first(F.col("line"), i), F.lit(-1)).rlike(DIGIT))).otherwise(places)
+    cut = F.transform(edits, lambda i: F.struct(i.alias("i"), F.xxhash64("out", without(i)).alias("key")))
     v = lines.select("h", "h2", F.when(own, F.xxhash64("out", "line")).alias("own"), F.when(less, cut).otherwise(F.array().cast("array<struct<i:int,key:bigint>>")).alias("less"))
     own = F.filter(F.array(F.struct(F.lit(0).alias("kind"), F.col("own").alias("key"))), lambda x: x["key"].isNotNull())
     # a line and its shorter variants share keys; replacements have keys of their own
@@ -166,51 +175,57 @@ def _similar(lines: DataFrame) -> DataFrame:
     return both.where(within_one(F.col("w"), F.col("ow"))).select("h", "h2").distinct()
 
 
+def _shared(x: Column, y: Column) -> Column:
+    """How many symbols two arrays share in front."""
+    same = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
+    return bound(F.array_position(same, F.lit(False)), lambda at: F.when(at == 0, F.greatest(F.size(x), F.size(y)).cast("bigint")).otherwise(at - 1))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, th, gone: the line numbers that go, of documents that lose any (stored)."""
     keyed = stored(_keyed(docs), "lines")
     kinds = keyed.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "th", "i")).alias("place"))
     similar = _similar(_candidates(docs, keyed, kinds)).withColumn("gone", F.lit(True))
-    fate = kinds.join(similar, ["h", "h2"], "left")
+    fate = stored(kinds.join(similar, ["h", "h2"], "left"), "fate")  # a table of its own, so that the join can split a hot line
     seen = keyed.select("doc_id", "th", "i", "h", "h2").join(fate, ["h", "h2"])
     gone = seen.where(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "th", "i") != F.col("place")))
-    return stored(gone.groupBy("doc_id", "th").agg(F.collect_set("i").alias("gone")), "gone")
+    return stored(gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("i")).alias("gone")), "gone")
 
 
 def within_one(a: Column, b: Column) -> Column:
-    """Whether two word arrays are at most one word edit apart: the words they share in front and behind cover all but one."""
+    """Whether two symbol arrays are at most one edit apart: what they share in front and behind covers all but one, which is no digit among characters."""
+    front, longer = _shared(a, b), F.greatest(F.size(a), F.size(b))
+    digit = lambda x, y: (F.size(x) >= F.size(y)) & F.coalesce(F.get(x, front.cast("int")).rlike(DIGIT), F.lit(False))
+    return (F.abs(F.size(a) - F.size(b)) <= 1) & (front + _shared(F.reverse(a), F.reverse(b)) >= longer - 1) & ~digit(a, b) & ~digit(b, a)
 
-    def shared(x, y):
-        same = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
-        at = F.array_position(same, F.lit(False))
-        return F.when(at == 0, F.size(same).cast("bigint")).otherwise(at - 1)
 
-    longer = F.greatest(F.size(a), F.size(b))
-    return (F.abs(F.size(a) - F.size(b)) <= 1) & (shared(a, b) + shared(F.reverse(a), F.reverse(b)) >= longer - 1)
+def _joined(docs: DataFrame) -> DataFrame:
+    """row, doc_id, th, text, kept, n_gone (null where no line goes)."""
+    found = meet(packed(docs), repeats(docs), "left", F.lit(64) + F.size("gone") * 4)
+    return found.select("row", "doc_id", "th", "text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("gone"))).alias("kept"), F.size("gone").alias("n_gone"))
 
 
-def _joined(docs: DataFrame) -> DataFrame:
-    found = repeats(docs)
-    small = (found.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_LINES
-    found = found.select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), F.col("gone").alias("__gone"))
-    return docs.join(F.broadcast(found) if small else found, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left")
+def without_lines(text: Column, gone: Column) -> Column:
+    """text without the lines whose numbers are in gone (ascending): the slices between them, so time is linear."""
 
+    def rest(lines, gone):
+        start = lambda k: F.when(k == 0, F.lit(1)).otherwise(F.get(gone, k - F.lit(1)) + F.lit(2))
+        stop = lambda k: F.coalesce(F.get(gone, k), F.size(lines))
+        parts = F.transform(F.sequence(F.lit(0), F.size(gone)), lambda k: F.slice(lines, start(k), stop(k) - start(k) + F.lit(1)))
+        return F.array_join(F.flatten(parts), "\n")
 
-def _kept(text: Column) -> Column:
-    gone = F.col("__gone")
-    return F.when(gone.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    return bound(F.struct(F.split(text, "\n").alias("l"), gone.alias("g")), lambda x: rest(x["l"], x["g"]))
 
 
 def dedup_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     """docs without repeated lines, n_chars brought up to date. All rows stay, but for drop_emptied those that lost all they said."""
-    new = {"text": _kept(docs["text"]), "n_chars": F.length(_kept(docs["text"])).cast("bigint")}
     j = _joined(docs)
     if drop_emptied:
-        j = j.where(F.col("__gone").isNull() | _kept(docs["text"]).rlike(r"[^\x20\x09-\x0D]"))
-    return j.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+        j = j.where(F.col("n_gone").isNull() | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    return unpacked(j, docs.columns, {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")})
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    d = docs.select("doc_id", "text")
-    out = _joined(d).select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce(_kept(F.col("text")), F.lit("")).alias("kept"))
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    out = _joined(docs.select("doc_id", "text"))
+    n = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint")
+    return out.select("doc_id", n.alias("n_lines"), F.coalesce("n_gone", F.lit(0)).cast("bigint").alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))

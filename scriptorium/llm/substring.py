@@ -10,7 +10,7 @@ work that grows with the square of the corpus (README has figures). `remove_repe
 3. Of runs with the same minimizer but other words around it, the earliest of each kind is compared window by window.
 
 Hot passages: minima and counts are partially aggregated; rows are met again by plain equi-joins of stored tables, which AQE may split.
-What is found for a document is where its runs and windows start; it meets the texts by broadcast up to BROADCAST_BYTES, by shuffle
+What is found for a document is where its runs and windows start; it meets the texts by broadcast within a bound of bytes, by shuffle
 beyond. Windows are judged on the input. Equality is that of hashes: 128 bits for a window, 64 for a word, so two windows of
 different words are taken for equal with a chance of about 1e-19 for each pair of distinct words compared.
 
@@ -32,11 +32,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import meet, stored
 
 SIZE, GRAM = 20, 8
-#: Starts of runs and windows go to all executors up to so many bytes (4 a start, 64 a document).
-BROADCAST_BYTES = 128 << 20
 #: remove_known broadcasts shards of so many reference words (an automaton has at most twice as many states).
 SHARD_WORDS = 200_000
 PLACE = np.uint64((1 << 20) - 1)
@@ -168,16 +166,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", (F.xxhash64("text") if twice else F.lit(0).cast("bigint")).alias("th"), "text")
 
 
-def _with_starts(keyed: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """keyed with the lists that `found` (a stored table) has for its documents."""
-    lists = [c for c in found.columns if c not in ("doc_id", "th")]
-    facts = found.agg(F.count(F.lit(1)).alias("docs"), *[F.coalesce(F.sum(F.size(c)), F.lit(0)).alias(c) for c in lists]).first()
-    if facts["docs"] * 64 + 4 * sum(facts[c] for c in lists) <= BROADCAST_BYTES:
-        found = F.broadcast(found)
-    c = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.th") == F.col("b.th")]
-    return keyed.alias("a").join(found.alias("b"), c, how).select("a.*", *[f"b.{x}" for x in lists])
-
-
 def repeats(keyed: DataFrame) -> DataFrame:
     """doc_id, th, starts (of runs), singles (starts of windows): what of each document (doc_id, th, text) repeats earlier windows."""
     run = "doc_id long, th long, g long, r long, s int"
@@ -190,7 +178,7 @@ def repeats(keyed: DataFrame) -> DataFrame:
     later = runs.join(kinds, ["g", "r"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "th", "s", F.lit(True).alias("whole"))
     mixed = stored(kinds.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "mixed")
     close = kinds.join(mixed, "g", "left_semi").select("first.*").groupBy("doc_id", "th").agg(F.collect_set("s").alias("starts"))
-    texts = _with_starts(keyed, stored(close, "close"), "inner")
+    texts = meet(keyed, stored(close, "close"), "inner", F.lit(64) + F.size("starts") * 4)
     windows = stored(texts.mapInArrow(_find_windows, "doc_id long, th long, g long, w long, s int"), "windows")
     firsts = windows.groupBy("g", "w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "w", "first")
     single = windows.join(stored(firsts, "firsts"), ["g", "w"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "th", "s", F.lit(False).alias("whole"))
@@ -201,7 +189,7 @@ def repeats(keyed: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space)."""
     keyed = _keyed(docs.select("doc_id", "text"))
-    joined = _with_starts(keyed, repeats(keyed), "left")
+    joined = meet(keyed, repeats(keyed), "left", F.lit(80) + (F.size("starts") + F.size("singles")) * 4)
     return joined.mapInArrow(_remove(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scriptorium.llm import chat, decontam, line_dedup, minhash, packing, pii, quality, queries, substring, toxicity, warc
+from scriptorium.llm import chat, common, decontam, line_dedup, minhash, packing, pii, quality, queries, substring, toxicity, warc
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,6 +76,12 @@ def test_quality_verdicts(spark):
     out = {r.doc_id: r for r in quality.annotate(spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)).collect()}
     assert not any(out[i].kept for i in (2, 4, 5))
     assert out[3].cleaned == good and out[6].cleaned == good.replace("plain", "fine")
+    fails = lambda line: spark.createDataFrame([(line,)], "l string").select(quality.line_fails(F.col("l"))).first()[0]
+    for line in ("Products Services Blog Careers Press", "Home › Shop › Shoes.", "no sentence here", "Alle Rechte vorbehalten.", "Nous respectons: tous droits réservés.", "Leer más.", "BUY NOW OR NEVER AGAIN."):
+        assert fails(line), line
+    long = "It has been said that cookies taste best when they are warm, and that nobody who has ever eaten one in the kitchen of a friend would say otherwise. " * 3
+    for line in ("A plain sentence.", "He said “no.”  ", "The text goes on. And it is cut off in the mid", long, "ما هذا؟"):
+        assert not fails(line), line
     d = spark.createDataFrame([(9, " ".join(f"word{i}" for i in range(40)) + ".\nAll rights reserved.", "en", "s", 1)], DOCS)
     kept = quality.clean_documents(d)
     assert kept.columns == d.columns and kept.first()["n_chars"] == len(kept.first()["text"]) and "reserved" not in kept.first()["text"]
@@ -92,16 +98,29 @@ def near(a, b):
     return p + s >= max(len(a), len(b)) - 1
 
 
+def alike(a, b):
+    """Equal, or one edit apart: of words from 8 words on, else of characters but digits from 20 characters on. a, b: words."""
+    if a == b:
+        return True
+    x, y = " ".join(a), " ".join(b)
+    if len(a) >= 8 and len(b) >= 8:
+        return near(a, b)
+    if len(a) >= 8 or len(b) >= 8 or min(len(x), len(y)) < 20 or not near(x, y):
+        return False
+    at = next(i for i in range(max(len(x), len(y))) if x[i : i + 1] != y[i : i + 1])
+    edited = (x[at] if len(x) >= len(y) else "") + (y[at] if len(y) >= len(x) else "")
+    return not any(c.isnumeric() for c in edited)
+
+
 def dedup(rows):
     seen, out = [], {}
     for i, t in rows:
         kept, gone = [], 0
         for line in (t or "").split("\n"):
             w = tuple(WORD.findall(line))
-            fits = 8 <= len(w) <= 512
-            dup = w and (w in [x for x, _ in seen] or fits and any(f and near(w, x) for x, f in seen))
-            if w and w not in [x for x, _ in seen]:
-                seen.append((w, fits))
+            dup = w and any(alike(w, x) for x in seen)
+            if w and w not in seen:
+                seen.append(w)
             gone += bool(dup)
             kept += [] if dup else [line]
         out[i] = (gone, hashlib.sha256("\n".join(kept).encode()).hexdigest() if t is not None else hashlib.sha256(b"").hexdigest())
@@ -141,7 +160,7 @@ def unbounded(rows):
         kept = []
         for line in t.split("\n"):
             w = tuple(WORD.findall(line))
-            kept += [] if w and any(w == x or len(w) >= 8 <= len(x) and near(w, x) for x in seen) else [line]
+            kept += [] if w and any(alike(w, x) for x in seen) else [line]
             seen += [w] if w else []
         out[i] = (t.count("\n") + 1 - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
     return out
@@ -172,6 +191,23 @@ def test_line_dedup_of_long_lines(spark, monkeypatch, bound):
     assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in line_dedup.op1(d).collect()} == want
 
 
+def test_line_dedup_of_short_lines(spark):
+    """One character for lines of fewer than 8 words, and no digit; around the bounds of words and characters."""
+    rng, letters, pool = random.Random(14), "ab é1²\U0001f600", []
+    for n in [*range(17, 45), 64, 65, 127, 600]:
+        pool.append("".join(rng.choice(letters) for _ in range(n)))
+        for _ in range(5):
+            x, at, kind = pool[-1], rng.randrange(len(pool[-1])), rng.randrange(3)
+            pool.append(x[:at] + rng.choice(letters) * (kind < 2) + x[at + (kind > 0) :])
+    pool += ["please read our terms and rules", "please read our terms and rulez", "please read our terms and rule", "See chapter 12 of the report", "See chapter 13 of the report", "one two three four five six sev", "one two three four five six sev eight"]
+    rng.shuffle(pool)
+    rows = [(i, "\n".join(pool[k : k + 3])) for i, k in enumerate(range(0, len(pool), 3))]
+    d = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    want = dedup(rows)
+    assert sum(n for n, _ in want.values()) > 40
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in line_dedup.op1(d).collect()} == want
+
+
 def test_line_dedup_edges(edge):
     got = line_dedup.op1(edge).collect()
     assert len(got) == edge.count()
@@ -182,7 +218,7 @@ def test_line_dedup_edges(edge):
 
 def test_line_dedup_by_shuffle(edge, monkeypatch):
     want = line_dedup.op1(edge).collect()
-    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     check(line_dedup.op1(edge).collect(), want)
 
 
@@ -598,7 +634,7 @@ def test_substring_known_over_shards(spark, edge, none, monkeypatch, bound):
 
 def test_substring_by_shuffle(small, monkeypatch):
     want = substring.op10(small["documents"]).collect()
-    monkeypatch.setattr(substring, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     check(substring.op10(small["documents"]).collect(), want)
 
 
@@ -623,6 +659,182 @@ def test_words_and_hashes_of_arrow_texts():
             assert len(set(names.values())) == len(names)
 
 
+# -- callers' columns, long texts, ties --------------------------------------------------------------------------------
+
+NAMES = "__gone __d __h __n __runs __t __ws __lines kept n_words cleaned lost_chars spans row th gone starts items n_items n_gone a b s rid root key digest n place h h2 line keys wanted marks __id".split()
+
+
+@pytest.mark.parametrize("stage", ["quality", "lines", "near", "decontam", "pii"])
+def test_stages_give_back_columns_of_any_name(spark, stage):
+    said = "Some plain words that make a sentence which is long enough to stay here. "
+    rows = [(1, said + "\nIt is one more line of text."), (2, "It is one more line of text.\n" + said * 2), (3, said + "one two three four five six seven eight nine. mail jo@mail.example now."), (4, None), (None, said)]
+    extra = {c: [f"{c} {k}" for k in range(len(rows))] for c in NAMES + ["a.b", "x y"]}
+    d = spark.createDataFrame([(i, t, "en", "s", 5, *(extra[c][k] for c in extra)) for k, (i, t) in enumerate(rows)], DOCS + "".join(f", `{c}` string" for c in extra))
+    b = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id long, text string")
+    run = {"quality": quality.clean_documents, "lines": lambda x: line_dedup.dedup_lines(x, drop_emptied=True), "near": minhash.drop_near_duplicates, "decontam": lambda x: decontam.clean_documents(x, b), "pii": pii.sanitise}[stage]
+    out = run(d)
+    assert out.columns == d.columns
+    got = out.collect()
+    assert got
+    for r in got:
+        k = [i for i, _ in rows].index(r.doc_id)
+        assert all(r[c] == extra[c][k] for c in extra)
+    plain = Counter((r.doc_id, r.text, r.n_chars) for r in run(d.select("doc_id", "text", "lang", "source", "n_chars")).collect())
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in got) == plain
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    many = 300_000
+    d = spark.createDataFrame([(1, "\n".join(["an equal line"] * many)), (2, "\n".join(f"line number {k} of many" for k in range(many)))], "doc_id long, text string").repartition(2)
+    passage = "one two three four five six seven eight nine ten"
+    leaked = spark.createDataFrame([(1, " and then ".join([passage] * 30_000)), (2, passage)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    t = time.time()
+    assert {r.doc_id: r.n for r in line_dedup.dedup_lines(d).select("doc_id", F.length("text").alias("n")).collect()} == {1: 13, 2: sum(len(f"line number {k} of many") + 1 for k in range(many)) - 1}
+    assert {r.doc_id: r.text for r in decontam.clean_documents(leaked, b).collect()} == {1: " and then ".join(["\n"] * 30_000), 2: "\n"}
+    assert time.time() - t < 120
+
+
+def test_cut_runs_equal_brute_force(spark):
+    """Windows of several lengths that overlap, touch and stand apart, from items of 1 to 12 words."""
+    rng = random.Random(15)
+    items = [(k, " ".join(rng.choice("abcdefg") for _ in range(rng.choice([2, 3, 5, 8, 12])))) for k in range(40)]
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 60)))) for i in range(60)]
+    token = lambda t: t.split()
+    grams = {tuple(token(t)[i : i + 8]) for _, t in items for i in range(max(1, len(token(t)) - 7))}
+    want = {}
+    for i, t in rows:
+        w = token(t)
+        hit = {j for k in {len(g) for g in grams} for a in range(len(w) - k + 1) if tuple(w[a : a + k]) in grams for j in range(a, a + k)}
+        parts = ["\n" if k in hit else x for k, x in enumerate(w) if k not in hit or k - 1 not in hit]
+        want[i] = " ".join(parts)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.text for r in decontam.clean_documents(d, b, min_items=1000).collect()}
+    assert got == want
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """Each row is linked by its own text; copies of each go, and only they."""
+    rng = random.Random(16)
+    a, b, c = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(60)) for k in "abc")
+    rows = [(5, a), (5, b), (5, b), (6, a + " more"), (7, b), (3, b), (8, c), (None, a)]
+    d = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.op5(d).collect())
+    assert got == Counter({(5, 57, 5, True): 1, (5, 57, 3, False): 2, (6, 58, 5, False): 1, (7, 57, 3, False): 1, (3, 57, 3, True): 1, (8, 57, 8, True): 1, (None, 57, None, True): 1})
+    assert Counter(texts(minhash.drop_near_duplicates(d))) == Counter([(5, a), (3, b), (8, c), (None, a)])
+
+
+def test_minhash_bucket_with_a_large_component(spark, monkeypatch):
+    """A bucket of one large component and others: the large one's members meet only the others, and no link is lost."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(17)
+    base = [f"t{k}" for k in range(100)]
+    rows = [(i, " ".join(base[:-1] + [f"u{i}"])) for i in range(50)]
+    for i in range(50, 90):
+        w = list(base)
+        for _ in range(rng.choice([4, 5, 6])):
+            w[rng.randrange(len(w))] = f"m{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.op5(d).collect()} == components(rows)
+
+
+def test_packing_of_one_document_repeated(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 50)
+    d = spark.createDataFrame([(1, "the same row again")], "doc_id long, text string").crossJoin(spark.range(2000)).select("doc_id", "text")
+    rows = packing.op3(d).collect()
+    spots = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    assert len(rows) == 2000 and len({x[:2] for x in spots}) == 2000
+    full = Counter()
+    for s, o, n in spots:
+        assert o == full[s]
+        full[s] += n
+    assert max(full.values()) <= 1024
+
+
+def test_toxicity_of_conflicting_rows(spark):
+    """The model doesn't depend on the order of rows: of conflicting labels the larger counts, of texts that with the least hash."""
+    rng = random.Random(18)
+    d = [(i, " ".join(rng.choice(["you", "are", "vile"] if i % 2 else ["the", "day", "goes"]) for _ in range(12))) for i in range(200)]
+    d += [(i, "another text " + t) for i, t in d[:50]]
+    labels = [(i, i % 2) for i in range(200)] + [(i, 1 - i % 2) for i in range(0, 60)]
+    found = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(d)
+        random.Random(seed).shuffle(labels)
+        out = toxicity.op4(spark.createDataFrame(d, "doc_id long, text string").repartition(seed), spark.createDataFrame(labels, "doc_id long, toxic int").repartition(3 - seed))
+        found.append(Counter((r.doc_id, round(r.score, 9)) for r in out.collect()))
+    assert found[0] == found[1]
+
+
+def test_chat_null_conversation_is_not_conversation_zero(spark):
+    c = spark.createDataFrame([(None, 0, "a", "x"), (0, 0, "b", "y")], "conv_id long, turn long, role string, text string")
+    assert {(r.conv_id, r.perspective, r.name) for r in chat.op9(c).collect()} == {(None, "a", "a"), (0, "b", "b")}
+
+
+def weighed(rows):
+    """pii.disclosing by brute force: pairs of what is protected and term, with bits."""
+    from math import log2, sqrt
+
+    held, df = [], Counter()
+    for t in rows:
+        s = plain_spans(t)
+        df.update(set(pii.vocabulary(t, s)))
+        if s:
+            said = {(k, t[a:b].lower()) for k, a, b in s}
+            e = {f"{k}:{x}" for k, x in said} | {"email:@" + x.split("@")[1] for k, x in said if k == "email"}
+            names = {w for k, x in said if k == "email" for w in re.findall("[a-z]{3,}", x.split("@")[0])}
+            held.append((t, {k for k, _ in said}, e, pii.vocabulary(t, s), names))
+    total, out = len(rows), {}
+    distinct = list({h[0]: h for h in held}.values())
+    for t, n_t in df.items():
+        mine = [h for h in held if t in h[3]]
+        for e in {e for h in mine for e in h[2]}:
+            n_e, n = sum(e in h[2] for h in held), sum(e in h[2] for h in mine)
+            if n >= 3 and n / n_t >= 0.5 and log2(n / n_t / (n_e / total)) >= 4:
+                out[e, t] = log2(n / n_t / (n_e / total))
+        if (n := sum(t in h[4] for h in mine)) and n / n_t >= 0.5:
+            out["name:" + t, t] = log2(n / n_t * total / n)
+        for k in ("any", *pii.KINDS):
+            n = sum(t in h[3] and (k == "any" or k in h[1]) for h in distinct)
+            p = n / n_t
+            low = (p + 4.5 / n_t - 3 * sqrt(p * (1 - p) / n_t + 2.25 / n_t**2)) / (1 + 9 / n_t)
+            share = max(1, sum(k == "any" or k in h[1] for h in held)) / total
+            if n and low >= 0.5 and log2(low / share) >= 3:
+                out[k, t] = log2(low / share)
+    return out
+
+
+def test_pii_information_equals_brute_force(spark):
+    rng = random.Random(19)
+    rows = []
+    for i in range(2000):
+        w = [rng.choice(["plain", "words", "of", "every", "day", "talk"]) for _ in range(12)]
+        if rng.random() < 0.05:
+            who = rng.choice(["jane", "omar", "lin"])
+            w[3] = f"{who}.x{rng.randrange(3)}@{rng.choice(['mail.example', 'post.example'])}"
+            w[5] = who if rng.random() < 0.7 else "someone"
+            w[7:9] = ["token", f"{rng.randrange(16**40):040x}"] if rng.random() < 0.6 else ["a", "b"]
+            w[1] = "secretary" if rng.random() < 0.5 else "clerk"
+        elif rng.random() < 0.02:
+            w[2] = f"+1 (990) 555-{rng.randrange(1000, 9999)}"
+            w[4] = "desk"
+        elif rng.random() < 0.005:
+            w[6] = rng.choice(["secretary", "jane", "token", "7663683147833391"])
+        rows.append(" ".join(w))
+    rows += [rows[0]] * 3 + [r for r in rows if "token" in r][:1] * 4
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    got = {(r.e, r.t): r.bits for r in pii.disclosing(d).collect()}
+    want = weighed(rows)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert {("any", "token"), ("any", "#hex40"), ("name:jane", "jane")} <= got.keys()
+    clean = [r.text for r in pii.sanitise(d).collect()]
+    assert not any(re.search(r"token|[0-9a-f]{40}|\bjane\b", t) for t in clean) and any("<hex40>" in t for t in clean)
+
+
 # -- registration and the pipeline --------------------------------------------------------------------------------------
 
 def test_every_operator_is_registered_and_runs(spark):
