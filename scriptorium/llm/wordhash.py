@@ -40,10 +40,6 @@ def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
     return _powers[key][:n]
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-
-
 def _sums(values: np.ndarray, base: int) -> np.ndarray:
     out = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * powers(base, len(values)), out=out[1:])
