@@ -24,7 +24,7 @@ SYSTEM = "system"
 def rotate(conversations: DataFrame) -> DataFrame:
     """conv_id, perspective, turn, role, name, segment, start, mask_start, mask_end (code points; equal where masked out)."""
     turns = conversations.select(
-        F.coalesce(F.xxhash64("conv_id"), F.lit(0)).alias("k"), "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("name"), F.coalesce("text", F.lit("")).alias("text"),
+        F.struct(F.coalesce("conv_id", F.lit(0)).alias("id"), F.col("conv_id").isNull().alias("none")).alias("k"), "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("name"), F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.floor(F.col("turn") / F.lit(BLOCK)), F.lit(-(1 << 40))).alias("block"),
     )
     speakers = turns.where(F.col("name") != SYSTEM).select("k", F.col("name").alias("perspective")).distinct()

@@ -8,7 +8,8 @@ Broadcast rule: the windows are counted first. Up to BROADCAST_WINDOWS they are
 beyond it windows are shuffled as hashes, where AQE splits hot ones, and what is met is verified on the texts of its documents.
 
 Defined cases: null text or item has no words; repeated document rows get equal results each;
-empty tables give no hits; repeated items count once per item_id; null item_id is not counted as an item.
+empty tables give no hits; repeated items count once per item_id; null item_id is not counted as an item; extra columns come back
+as they are from clean_documents, whatever their names; hits are merged and cut out in time linear in text and hits.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, word_hashes
+from .common import ascii_lower, bound, meet, packed, stored, unpacked, word_hashes
 
 SIZE = 8
 BROADCAST_WINDOWS = 500_000
@@ -110,41 +111,47 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) ->
 
 
 def _merged(starts: Column) -> Column:
-    """Ascending runs (s, e) of the words covered by starts."""
-    none = F.array().cast("array<struct<s:int,e:int>>")
+    """Ascending runs (s, e) of the words covered by starts: (s, l) ascending, l at most SIZE. Runs that touch are one.
 
-    def step(a, x):
-        last, end = F.element_at(a, -1), x["s"] + x["l"]
-        grown = F.concat(F.slice(a, F.lit(1), F.size(a) - F.lit(1)), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], end).alias("e"))))
-        return F.when((F.size(a) > 0) & (x["s"] <= F.get(a, F.size(a) - F.lit(1))["e"]), grown).otherwise(F.concat(a, F.array(F.struct(x["s"].alias("s"), end.alias("e")))))
+    Of each start the longest window counts. No window reaches beyond the SIZE - 1 starts after its own, so each is compared with so many.
+    """
+    last = F.filter(starts, lambda x, i: F.coalesce(F.get(starts, i + F.lit(1))["s"] != x["s"], F.lit(True)))
+
+    def runs(x):
+        end = lambda k: F.coalesce(F.get(x, k)["s"] + F.get(x, k)["l"], F.lit(-1))
+        upto = lambda k: F.greatest(*[end(k - F.lit(j)) for j in range(1, SIZE)])  # noqa: E731  (the furthest end before k)
+        first = F.filter(F.sequence(F.lit(0), F.size(x) - F.lit(1)), lambda k: F.get(x, k)["s"] > upto(k))
+        run = lambda f, k, i: F.struct(F.get(x, k)["s"].alias("s"), upto(F.coalesce(F.get(f, i + F.lit(1)), F.size(x))).alias("e"))
+        return bound(first, lambda f: F.transform(f, lambda k, i: run(f, k, i)))
 
-    return F.aggregate(starts, none, step)
+    return bound(last, runs)
 
 
 def without_words(text: Column, runs: Column) -> Column:
     """text without the words in runs; each run's first word becomes a line end, which no window crosses unseen."""
     pieces = F.regexp_extract_all(text, F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), 1)
 
-    def cut(p):
-        shift = F.when(F.get(p, F.lit(0)).rlike(r"^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(0)).otherwise(F.lit(1))
+    def rest(p, runs):
+        # words and separators take turns: word k is piece 2 k + 1, counted from 1, or one more where a separator comes first
+        shift = F.when(F.get(p, F.lit(0)).rlike(r"^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(1)).otherwise(F.lit(2))
 
-        def keep(x, i):
-            k = F.floor((i - shift) / F.lit(2)).cast("int")  # words and separators take turns
-            is_word = (i - shift) % 2 == 0
-            return F.when(F.exists(runs, lambda r: (r["s"] <= k) & (k < F.when(is_word, r["e"]).otherwise(r["e"] - F.lit(1)))), F.when(is_word & F.exists(runs, lambda r: r["s"] == k), F.lit("\n")).otherwise(F.lit(""))).otherwise(x)
+        def part(k):
+            start = F.when(k == 0, F.lit(1)).otherwise(F.get(runs, k - F.lit(1))["e"] * 2 - F.lit(1) + shift)
+            stop = F.coalesce(F.get(runs, k)["s"] * 2 + shift, F.size(p) + F.lit(1))
+            return F.concat(F.slice(p, start, stop - start), F.when(k < F.size(runs), F.array(F.lit("\n"))).otherwise(F.array().cast("array<string>")))
 
-        return F.array_join(F.transform(p, keep), "")
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), part)), "")
 
-    return F.transform(F.array(pieces), lambda p: cut(p))[0]
+    return bound(F.struct(pieces.alias("p"), runs.alias("r")), lambda x: rest(x["p"], x["r"]))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) -> DataFrame:
     """docs without documents in which min_items items or more occur, and without the words of occurring windows in the others; the columns of docs."""
-    hits = find_hits(docs, benchmark).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), _merged(F.col("starts")).alias("__runs"), F.size("items").alias("__n"))
-    j = docs.join(hits, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left").where(F.coalesce("__n", F.lit(0)) < min_items)
-    text = F.when(F.col("__runs").isNotNull(), without_words(docs["text"], F.col("__runs"))).otherwise(docs["text"])
-    new = {"text": text, "n_chars": F.length(text).cast("bigint")}
-    return j.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+    hits = stored(find_hits(docs, benchmark).select("doc_id", "th", "starts", F.size("items").alias("n_items")), "hits")
+    j = meet(packed(docs), hits, "left", F.lit(80) + F.size("starts") * 32).where(F.coalesce("n_items", F.lit(0)) < min_items)
+    text = F.when(F.col("starts").isNotNull(), without_words(F.col("text"), _merged(F.col("starts")))).otherwise(F.col("text"))
+    j = j.select("row", text.alias("text"))
+    return unpacked(j, docs.columns, {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")})
 
 
 def op6(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

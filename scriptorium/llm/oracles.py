@@ -13,10 +13,15 @@ def _n(x: str, outside: str) -> str:
 
 
 _SOLID = f"regexp_replace(l, '{BLANK}', '', 'g')"
-_FAILS = f"""({_n(_SOLID, '[^#*$%&|<>~^=•»›]+')} * 100 > length({_SOLID}) * {quality.MAX_SYMBOLS}
+_PHRASES = f"length({_SOLID}) - length(regexp_replace(regexp_replace(l, '{quality.BOILERPLATE}', '', 'g'), '{BLANK}', '', 'g'))"
+_SENTENCE, _END_MARK = (x.replace("'", "''") for x in (quality.SENTENCE, quality.END_MARK))
+_WORDS = f"len(regexp_extract_all(l, '{WORD}'))"
+_FAILS = f"""(NOT regexp_matches(l, '{_SENTENCE}') OR len(regexp_extract_all(l, '{quality.SEPARATOR}')) >= {quality.MIN_SEPARATORS}
+ OR {_WORDS} >= {quality.NAV_WORDS} AND NOT regexp_matches(l, '{_END_MARK}') AND len(regexp_extract_all(l, '{quality.CAPITALISED}')) * 100 >= {_WORDS} * {quality.NAV_CAPITALISED}
+ OR {_n(_SOLID, '[^#*$%&|<>~^=•»›]+')} * 100 > length({_SOLID}) * {quality.MAX_SYMBOLS}
  OR {_n(_SOLID, '[^!]+')} * 100 > length({_SOLID}) * {quality.MAX_EXCLAMATIONS} AND {_n(_SOLID, '[^!]+')} > 2
  OR length({_SOLID}) >= {quality.SHOUT_CHARS} AND {_n(_SOLID, chr(92) + 'P{Lu}+')} * 100 > length({_SOLID}) * {quality.MAX_UPPER}
- OR NOT regexp_matches({_SOLID}, '\\p{{L}}') OR length(l) <= {quality.BOILERPLATE_CHARS} AND regexp_matches(l, '{quality.BOILERPLATE}'))"""
+ OR NOT regexp_matches({_SOLID}, '\\p{{L}}') OR regexp_matches(l, '{quality.BOILERPLATE}') AND ({_PHRASES}) * 100 > length({_SOLID}) * {quality.MAX_BOILERPLATE})"""
 
 OP2 = f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
 g AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS s FROM w, unnest(range(1, greatest(len(ws) - 3, 1))) u(i)),

@@ -7,7 +7,7 @@ at most 1024 / UNIT counts. Rounded-down patterns, and first-fit-decreasing patt
 assigned to documents by their rank within their length class.
 
 Ranks come from counts per (class, bucket) and a window within a bucket, so no task holds a class: one class may have
-a third of all rows. The driver sees the histogram only. Token ids are never shuffled: pieces depend on the document alone.
+a third of all rows, and one document may be repeated any number of times. Pieces are numbered when they are stored, and dealt by number. The driver sees the histogram only. Token ids are never shuffled: pieces depend on the document alone.
 
 Defined cases: null text is empty (the end id alone); repeated rows are packed each; an empty table gives no pieces.
 """
@@ -125,15 +125,20 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, i
     return [({int(s): int(c) for s, c in zip(sizes, column, strict=True) if c}, times) for column, times in found.items()]
 
 
+def numbered(pieces: DataFrame) -> DataFrame:
+    """pieces as a stored table, each row with a number of its own, __id."""
+    return stored(pieces.withColumn("__id", F.monotonically_increasing_id()), "pieces")
+
+
 def assign(pieces: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFrame:
-    """pieces (a stored table) with sequence_id and offset."""
+    """Numbered pieces with sequence_id and offset."""
     spark = pieces.sparkSession
     size = F.ceil(F.col("length") / F.lit(unit)).cast("int")
     p = pieces.withColumn("__size", size)
     counts = p.groupBy("__size").count()
     histogram = {r[0]: r[1] for r in counts.collect()}  # at most length / unit rows
     buckets = max(1, -(-sum(histogram.values()) // BUCKET_ROWS))
-    p = p.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
+    p = p.withColumn("__bucket", F.pmod(F.xxhash64("__id"), F.lit(buckets)).cast("int"))
     # slots of a size, in the order of its ranks: a run of ranks for each pattern that has it
     runs, base, seen = [], 0, dict.fromkeys(histogram, 0)
     for pattern, times in patterns(histogram, length // unit):
@@ -147,7 +152,7 @@ def assign(pieces: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFra
     per = p.groupBy("__size", "__bucket").count()
     w = Window.partitionBy("__size").orderBy("__bucket")
     offsets = per.select("__size", "__bucket", (F.sum("count").over(w) - F.col("count")).alias("__before"))
-    mine = Window.partitionBy("__size", "__bucket").orderBy("doc_id", "start", "ids_crc32")
+    mine = Window.partitionBy("__size", "__bucket").orderBy("__id")
     # both tables are bounded: sizes x buckets rows of three numbers, and one row for each size in each of at most 2 x sizes patterns
     p = p.withColumn("__n", F.row_number().over(mine)).join(offsets, ["__size", "__bucket"])
     p = p.withColumn("__rank", F.col("__before") + F.col("__n") - F.lit(1)).drop("__bucket", "__n", "__before")
@@ -157,17 +162,17 @@ def assign(pieces: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFra
     p = p.withColumn("__at", F.col("__place") + ((r - F.col("__lo")) % F.col("__copies")))
     inside = Window.partitionBy("sequence_id").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     p = p.withColumn("offset", F.sum("length").over(inside) - F.col("length"))
-    return p.select(*pieces.columns, "sequence_id", "offset")
+    return p.select(*[c for c in pieces.columns if c != "__id"], "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Pieces of all documents with their places in sequences of at most LENGTH tokens."""
-    return assign(stored(cut(docs, path), "pieces"))
+    return assign(numbered(cut(docs, path)))
 
 
 def sequences(docs: DataFrame, path: str | None = None) -> DataFrame:
     """sequence_id and its token ids, without padding: the training file."""
-    placed = assign(stored(cut(docs, path, with_ids=True), "pieces"))
+    placed = assign(numbered(cut(docs, path, with_ids=True)))
     g = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("p"))
     return g.select("sequence_id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
 

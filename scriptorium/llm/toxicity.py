@@ -4,12 +4,14 @@ Features of a text: densities and strengths of a lexicon (words and word beginni
 odds), how near they stand to second-person words, capitals, punctuation, obfuscation. The lexicon for a training row comes from the other
 half of the training rows, so that its own label is not in its features.
 
-Bounds: at most MAX_ROWS labelled rows are fitted (those with the least hash of doc_id; the parameter bounds the sample) and MAX_TERMS
-lexicon entries, out of MAX_CANDIDATES units of toxic documents, are broadcast with the trees. Counts for the lexicon are aggregated on the executors; the driver gets numbers only.
+Bounds: at most MAX_ROWS labelled rows are fitted (those with the least hash of doc_id; the parameter bounds the sample), so what is
+learned from them is bounded too: every unit of at least MIN_DOCS of them with the odds for it is in the lexicon, none is dropped.
+Counts for the lexicon are aggregated on the executors; the driver gets the units that pass, with their numbers.
 Every whole text of the table is scored; labels, lang, source and doc_id are never inputs of a score.
 
 Defined cases: null text is empty; without labelled rows of both kinds the score is their share (0 without any);
-repeated rows get equal results; rows of labels without a document are not used.
+repeated rows get equal results; rows of labels without a document are not used; of conflicting labels of one doc_id the larger
+counts, of several texts of one doc_id that with the least hash is fitted; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-MAX_ROWS, MAX_TERMS, MAX_CANDIDATES, MIN_DOCS, MIN_SHARE = 50_000, 5_000, 200_000, 5, 0.5
+MAX_ROWS, MIN_DOCS, MIN_SHARE = 50_000, 5, 0.5
 ROUNDS, DEPTH, RATE, BINS, MIN_LEAF, RIDGE = 80, 3, 0.12, 48, 15, 2.0
 PREFIXES = (4, 5, 6, 7, 8, 9)
 CUT = 0.7
@@ -183,12 +185,13 @@ def _half(doc_id: object) -> int:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """The model of the labelled rows that are not held out."""
     spark = docs.sparkSession
-    mine = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    mine = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     n = mine.count()
     if n > MAX_ROWS:
         mine = mine.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS)
     # at most MAX_ROWS ids are broadcast, so the texts of the corpus are not shuffled
-    rows = stored(docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id").dropDuplicates(["doc_id"]), "labelled")
+    rows = docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = stored(rows.select("doc_id", "text", "y"), "labelled")
 
     totals = {(r["h"], r["y"]): r["n"] for r in rows.select(F.pmod(F.crc32(F.concat(F.lit("half "), F.col("doc_id").cast("string")).cast("binary")), F.lit(2)).alias("h"), "y").groupBy("h", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, a = (sum(v for (_, y), v in totals.items() if bool(y) is k) for k in (True, False))
@@ -209,13 +212,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
         return which.mapInPandas(count, "u string, n0 long, n1 long").groupBy("u").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
-    # units of toxic documents first: few documents; of the others only what occurs there is counted
-    yes = counts(rows.where("y = 1")).where(F.col("n0") + F.col("n1") >= MIN_DOCS).orderBy((F.col("n0") + F.col("n1")).desc(), "u").limit(MAX_CANDIDATES).toPandas()
+    # units of toxic documents first: few documents; of the others only what occurs there is counted. Both are bounded by MAX_ROWS texts
+    yes = counts(rows.where("y = 1")).where(F.col("n0") + F.col("n1") >= MIN_DOCS).toPandas()
     wanted = spark.sparkContext.broadcast(frozenset(yes["u"]))
     no = counts(rows.where("y = 0"), wanted).toPandas()
     some = yes.merge(no, on="u", how="left", suffixes=("p", "a")).fillna({"n0a": 0, "n1a": 0}).rename(columns={"n0p": "p0", "n1p": "p1", "n0a": "a0", "n1a": "a1"})
     pos, neg = some["p0"] + some["p1"], some["a0"] + some["a1"]
-    some = some[pos > MIN_SHARE * (pos + neg)].assign(odds=pos / (neg + 1), pos=pos).sort_values(["odds", "pos", "u"], ascending=[False, False, True]).head(MAX_TERMS)
+    some = some[pos > MIN_SHARE * (pos + neg)].assign(odds=pos / (neg + 1), pos=pos).sort_values(["odds", "pos", "u"], ascending=[False, False, True])
 
     def lexicon(halves: tuple[int, ...]) -> Lexicon:
         p, a = sum(some[f"p{h}"] for h in halves), sum(some[f"a{h}"] for h in halves)
