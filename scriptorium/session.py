@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees (spark.checkpoint.dir); a local one only where it is unset, as in tests."""
+    """The folder every executor sees (spark.checkpoint.dir). Where it is unset, one of this machine if Spark runs on this machine alone."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="scriptorium-")
         shared_dir.own = where
     return where
