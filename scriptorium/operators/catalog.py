@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import stored
 
 
 # -- joins and counts ---------------------------------------------------------------------------------------------------
@@ -51,6 +52,7 @@ def not_imported(incoming: DataFrame, present: DataFrame) -> DataFrame:
 
 def without_shadowed(files: DataFrame, library: DataFrame) -> DataFrame:
     """files(path) but for .docx ones whose name is also that of a .pdf here or in the library (path)."""
+    library = library.where(T.file_ext(F.col("path")) == ".pdf")
     f = files.withColumns({"__stem": T.file_stem(F.col("path")), "__ext": T.file_ext(F.col("path"))})
     pdf = f.where(F.col("__ext") == ".pdf").select("__stem").union(library.select(T.file_stem(F.col("path")))).distinct()
     docx = f.where(F.col("__ext") == ".docx").join(pdf, "__stem", "left_anti")
@@ -146,15 +148,15 @@ def without_documents(tables: dict[str, DataFrame], ids: list[int]) -> dict[str,
 def remapped(rows: DataFrame, present: DataFrame, key: str) -> DataFrame:
     """Rows with new ids beyond the largest present one, in the order of the old, as `new_id`.
 
-    Ids are ranked within ranges of the old id, and ranges are counted: no task sees all rows.
+    Rows are dealt into ranges of the old id that hold about as many each (sampled), whatever the ids are; ranges are stored and counted,
+    and ids are ranked within them: no task sees all rows.
     """
     top = present.agg(F.coalesce(F.max(key), F.lit(-1)).alias("top"))
-    span = 1 << 16
-    r = rows.withColumn("__range", F.floor(F.col(key) / F.lit(span)))
+    r = stored(rows.repartitionByRange(key).withColumn("__range", F.spark_partition_id()), "ranges")
     per = r.groupBy("__range").count()
-    before = per.select("__range", (F.sum("count").over(Window.orderBy("__range")) - F.col("count")).alias("__before"))  # one row for 65,536 ids
+    before = per.select("__range", (F.sum("count").over(Window.orderBy("__range")) - F.col("count")).alias("__before"))  # one row for each range
     w = Window.partitionBy("__range").orderBy(key)
-    r = r.withColumn("__n", F.row_number().over(w)).join(before, "__range").join(F.broadcast(top))
+    r = r.withColumn("__n", F.row_number().over(w)).join(F.broadcast(before), "__range").join(F.broadcast(top))
     return r.select(*rows.columns, (F.col("top") + F.col("__before") + F.col("__n")).alias("new_id"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,7 @@ def payload_filtered(rows: DataFrame, source=None, **exact) -> DataFrame:
 
 
 def clamp(limit: int = 40, offset: int = 0, most: int = 200) -> tuple[int, int]:
+    """The page that a public call may ask for."""
     return max(1, min(most, limit)), max(0, offset)
 
 
@@ -76,18 +78,21 @@ class Archive:
 
     def _search(self, groups: list[Q.Group], limit: int, offset: int, **filters) -> DataFrame:
         if not any(g.positive for g in groups):
-            return self.browse(limit, offset, **filters)
+            return self._browse(limit, offset, **filters)
         rows = filtered(self._full(search(self.index, groups)), categories=self.categories, **filters)
         rows = rows.orderBy("score", "passage_id").offset(offset).limit(limit).select(*HIT)
         return self.hits(rows, Q.positive_stems(groups))
 
     def search(self, q: str, limit: int = 40, offset: int = 0, **filters) -> DataFrame:
-        return self._search(Q.parse(q), limit, offset, **filters)
+        return self._search(Q.parse(q), *clamp(limit, offset), **filters)
 
     def structured(self, and_groups: list[list[str]], exclude: list[str] = (), limit: int = 40, offset: int = 0, **filters) -> DataFrame:
-        return self._search(Q.structured(and_groups, exclude), limit, offset, **filters)
+        return self._search(Q.structured(and_groups, exclude), *clamp(limit, offset), **filters)
 
     def browse(self, limit: int = 40, offset: int = 0, **filters) -> DataFrame:
+        return self._browse(*clamp(limit, offset), **filters)
+
+    def _browse(self, limit: int, offset: int, **filters) -> DataFrame:
         rows = filtered(self._full(self.passages.select("passage_id").withColumn("score", F.lit(0.0))), categories=self.categories, **filters)
         rows = rows.orderBy("document_id", "idx").offset(offset).limit(limit)
         return rows.select(*[c for c in HIT if c != "text"], F.array().cast("array<string>").alias("matched_words"), F.left("text", F.lit(200)).alias("snippet"))
@@ -104,8 +109,15 @@ def highlight_spans(rows: DataFrame, terms: list[str] | None, text: str = "text"
     if not stems:
         return rows.withColumn("spans", none)
 
-    @F.udf("array<struct<start:int,end:int>>")
-    def spans(t):
-        return match_spans(t or "", stems)
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        known: dict[str, bool] = {}  # each distinct word of a batch is stemmed once
+
+        def hit(word):
+            if word not in known:
+                known[word] = isri.stem(Q._MARKS.sub("", word).translate(Q._FOLD)) in stems
+            return known[word]
+
+        return texts.map(lambda t: [{"start": m.start(), "end": m.end()} for m in isri.re.finditer(T.HIGHLIGHT, t or "") if hit(m[0])])
 
     return rows.withColumn("spans", spans(text))

@@ -85,7 +85,7 @@ def hybrid(archive, q: str, vectors: DataFrame, embed: Callable[[str], list[floa
         query = None
     if query is None:
         return archive.search(q, limit=limit, offset=offset, **filters)
-    text_hits = archive.search(q, limit=span * 3, **filters).select("passage_id", "score")
+    text_hits = archive._search(groups, span * 3, 0, **filters).select("passage_id", "score")
     allowed = filtered(archive.passages.select("passage_id", "document_id").join(archive.documents, "document_id"), categories=archive.categories, **filters).select("passage_id")
     fused = fuse(text_hits, top_k(vectors.join(allowed, "passage_id", "left_semi"), unit(query), span * 3), limit, offset)
     rows = archive._full(fused.withColumnRenamed("rrf", "score"))

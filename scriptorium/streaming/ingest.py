@@ -7,26 +7,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunk import chunk, paginate
+from ..session import stored
 
 TABLES = ("documents", "pages", "passages")
 
 
-def _known(spark: SparkSession, path: str) -> DataFrame | None:
+def _there(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(f"{path}/documents")
-    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/documents").select("document_id") if there else None
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def ingest_batch(batch: DataFrame, path: str, number: int) -> None:
-    """Write what is new of a batch under its number: a batch that runs again writes the same folders again."""
+    """Write what is new of a batch under its number: a batch that runs again writes the same folders again.
+
+    Of several rows of one id the least by all columns counts. What is new is stored first, so that all three tables are of the same rows.
+    """
     spark = batch.sparkSession
-    new = batch.dropDuplicates(["document_id"])
-    others = _known(spark, path)
-    if others is not None:
-        mine = F.input_file_name().contains(f"batch={number}/")
-        others = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/documents").where(~mine).select("document_id")
+    rest = [c for c in batch.columns if c != "document_id"]
+    new = batch.groupBy("document_id").agg(F.min(F.struct(*rest)).alias("r")).select(*[F.col(c) if c == "document_id" else F.col(f"r.{c}").alias(c) for c in batch.columns])
+    if _there(spark, path):
+        others = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/documents").where(~F.input_file_name().contains(f"batch={number}/")).select("document_id")
         new = new.join(others, "document_id", "left_anti")
+    new = stored(new, "batch")
     pages = paginate(new.select("document_id", "text"))
     for name, t in (("pages", pages), ("passages", chunk(pages)), ("documents", new.drop("text"))):
         t.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")

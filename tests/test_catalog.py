@@ -64,6 +64,34 @@ def test_toggle_and_delete(spark):
     assert pairs(out["vectors"]) == {(20,)} and out["bookmarks"].count() == 2 and pairs(out["documents"]) == {(2,)}
 
 
+def test_library_files_other_than_pdf_shadow_nothing(spark):
+    f = spark.createDataFrame([("in/a.docx",), ("in/b.docx",)], "path string")
+    assert pairs(C.without_shadowed(f, spark.createDataFrame([("lib/a.txt",), ("lib/b.PDF",)], "path string"))) == {("in/a.docx",)}
+
+
+def test_remapped_ids_of_any_spread(spark):
+    """Ids that are far apart, hashed or negative: dense new ids in the order of the old."""
+    import random
+
+    rng = random.Random(1)
+    ids = sorted({rng.randrange(-(2**62), 2**62) for _ in range(500)} | {k * 1_000_000 for k in range(200)})
+    d = spark.createDataFrame([(i, f"t{i}") for i in rng.sample(ids, len(ids))], "id long, t string")
+    got = {r.id: r.new_id for r in C.remapped(d, spark.createDataFrame([(7,), (41,)], "id long"), "id").collect()}
+    assert got == {i: 42 + k for k, i in enumerate(ids)}
+    assert C.remapped(d.limit(0), d, "id").count() == 0
+
+
+def test_ingest_of_an_id_with_two_rows(spark, tmp_path):
+    """All tables hold the same one of conflicting rows, whatever their order."""
+    from scriptorium.streaming.ingest import ingest_batch
+
+    for k, rows in enumerate(([(1, "first text"), (1, "other text")], [(1, "other text"), (1, "first text")])):
+        at = str(tmp_path / str(k))
+        ingest_batch(spark.createDataFrame(rows, "document_id long, text string").repartition(2), at, 0)
+        pages = spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/pages").collect()
+        assert [r.text for r in pages] == ["first text"] and spark.read.parquet(f"{at}/documents/batch=0").count() == 1
+
+
 def test_shadowed_docx(spark):
     f = spark.createDataFrame([("a/x.pdf",), ("b/X.docx",), ("y.docx",), ("z.docx",), ("t.txt",)], "path string")
     assert pairs(C.without_shadowed(f, spark.createDataFrame([("lib/Z.pdf",)], "path string"))) == {("a/x.pdf",), ("y.docx",), ("t.txt",)}

@@ -89,6 +89,31 @@ def test_stored_index_gives_the_same(spark, tmp_path):
     assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket") or "bucket" in plan
 
 
+def test_public_calls_clamp_their_page(spark):
+    a = archive(spark, ["x"] * 230)
+    assert a.browse(limit=1000).count() == a.search("x", limit=1000).count() == 200
+    assert a.browse(limit=0, offset=-5).count() == 1
+
+
+def test_postings_are_built_without_shuffle(spark, tmp_path):
+    texts = ["b a B", None, "", "a", "word " * 300]
+    p = spark.createDataFrame(list(enumerate(texts)), "passage_id long, text string")
+    i = Index.of(p, stem_words=False)
+    plan = i.postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    got = {(r.field, r.term, r.passage_id): (list(r.positions), r.d) for r in i.postings.collect()}
+    want = {}
+    for k, t in enumerate(texts):
+        said = (t or "").lower().split()
+        for w in set(said):
+            want |= {(f, w, k): ([n for n, x in enumerate(said) if x == w], 2 * len(said)) for f in ("norm", "stems")}
+    assert got == want
+    i.write(str(tmp_path), parts=3)
+    stored = Index.read(spark, str(tmp_path))
+    assert {(r.field, r.term): (r.df, r.cf) for r in stored.terms.collect() if r.field == "norm"} == {("norm", "a"): (2, 2), ("norm", "b"): (1, 2), ("norm", "word"): (1, 300)}
+    assert stored.stats.first()["n"] == 5
+
+
 def test_highlight(spark):
     text = "الطبيب جلس هنا يكتب ثم كتبت و يكتبون و كَتَبَ"
     spans = match_spans(text, Q.stems_of_terms(["كتب"]))
