@@ -43,6 +43,24 @@ def two_stage(vectors: DataFrame, query: list[float], limit: int, oversampling:
     return rows.select(id_, dot(F.col(vec), query).alias("sim")).orderBy(F.desc("sim"), id_).limit(limit)
 
 
+def signs(vec: Column) -> Column:
+    """One bit a component (1: above zero), 32 to a number."""
+    word = lambda w: F.aggregate(F.slice(vec, w * 32 + F.lit(1), F.lit(32)), F.lit(0).cast("bigint"), lambda s, x: F.shiftleft(s, 1).bitwiseOR((x > 0).cast("bigint")))
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(vec) / F.lit(32)).cast("int") - F.lit(1)), word)
+
+
+def binary_quantised(vectors: DataFrame, vec: str = "vec") -> DataFrame:
+    """vectors with `q1`: the signs of their components, a thirty-second of the vector's size."""
+    return vectors.withColumn("q1", F.when(F.size(vec) > 0, signs(F.col(vec))).otherwise(F.array().cast("array<bigint>")))
+
+
+def two_stage_binary(vectors: DataFrame, query: list[float], limit: int, oversampling: float = OVERSAMPLING, id_: str = "passage_id", vec: str = "vec") -> DataFrame:
+    """Coarse top by the number of equal signs, then the exact order of limit * oversampling rows."""
+    apart = F.aggregate(F.zip_with("q1", signs(F.array(*[F.lit(float(x)) for x in query])), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    rows = vectors.withColumn("__c", apart).orderBy("__c", id_).limit(int(limit * oversampling))
+    return rows.select(id_, dot(F.col(vec), query).alias("sim")).orderBy(F.desc("sim"), id_).limit(limit)
+
+
 def missing(passages: DataFrame, vectors: DataFrame, id_: str = "passage_id") -> DataFrame:
     return passages.join(vectors.select(id_), id_, "left_anti")
 

@@ -6,10 +6,13 @@ embeddings are vectors of passages, conversations are overlapping chunks of a pa
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import isri
@@ -20,7 +23,7 @@ from ..operators.chunk import chunk, paginate
 from ..operators.index import Index, search
 from ..operators.search import Archive, filtered, highlight_spans, like, payload_filtered
 from ..session import shared_dir, ship
-from ..sources.files import free_name
+from ..sources import files
 from ..streaming.ingest import ingest_batch
 from . import query as Q
 
@@ -423,6 +426,15 @@ def v7_two_stage(t, spark):
     return vector.two_stage(vector.quantised(v), q, 10).withColumn("sim", F.round("sim", 9))
 
 
+APART = f"list_sum(list_transform(list_zip(embedding, {QVEC}), lambda z: CASE WHEN (z[1] > 0) <> (z[2] > 0) THEN 1 ELSE 0 END))"
+
+
+@query(f"SELECT vec_id AS passage_id, round({SIM}, 9) AS sim FROM (SELECT * FROM embeddings ORDER BY {APART}, vec_id LIMIT 40) ORDER BY {SIM} DESC, vec_id LIMIT 10")
+def v7_binary(t, spark):
+    v, q = vectors(t)
+    return vector.two_stage_binary(vector.binary_quantised(v), q, 10, 4.0).withColumn("sim", F.round("sim", 9))
+
+
 @query(f"""WITH v AS (SELECT vec_id AS passage_id, row_number() OVER (ORDER BY {SIM} DESC, vec_id) - 1 AS rb FROM embeddings QUALIFY rb < 60 AND {SIM} >= 0.25),
 x AS (SELECT doc_id AS passage_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS ra FROM documents QUALIFY ra < 60)
 SELECT coalesce(x.passage_id, v.passage_id) AS passage_id, round(coalesce(1.0 / (60 + ra), 0) + coalesce(1.0 / (60 + rb), 0), 12) AS rrf FROM x FULL JOIN v ON x.passage_id = v.passage_id ORDER BY coalesce(1.0 / (60 + ra), 0) + coalesce(1.0 / (60 + rb), 0) DESC, ra NULLS LAST, rb LIMIT 20""")
@@ -747,6 +759,71 @@ def stream_ingest(t, spark):
     return spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/pages").select("document_id", "page_no", F.md5("text").alias("text_md5"))
 
 
+def docx(text: pd.Series, pages: pd.Series) -> pd.Series:
+    """Files with a paragraph per line of a text and a noted number of pages, to read again."""
+
+    def one(t: str, n: int) -> bytes:
+        out = io.BytesIO()
+        body = "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").split("\n"))
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("word/document.xml", f"<w:document>{body}</w:document>")
+            z.writestr("docProps/app.xml", f"<Properties><Pages>{n}</Pages></Properties>")
+        return out.getvalue()
+
+    return pd.Series([one(t, n) for t, n in zip(text, pages, strict=True)])
+
+
+def as_docx() -> Column:
+    return F.pandas_udf(docx, "binary")(F.coalesce("text", F.lit("")), F.ceil(F.length(F.coalesce("text", F.lit(""))) / 2000).cast("int"))
+
+
+@query(f"""SELECT document_id, page_no, md5(text) AS text_md5, CASE document_id % 4 WHEN 0 THEN 'sicher' ELSE 'ungefähr' END AS reliability, CASE document_id % 4 WHEN 0 THEN 'TXT' ELSE 'DOCX' END AS engine, NULL AS error FROM {PAGES} WHERE document_id % 4 < 2
+UNION ALL SELECT doc_id, unnest(range(1, len(l) + 1))::INT, md5(regexp_replace(unnest(l), '^\\s+|\\s+$', '', 'g')), 'sicher', 'PDF', NULL FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id % 4 = 2)
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, 'unsupported file type: odt' FROM documents WHERE doc_id % 4 = 3""")
+def s1_dispatch(t, spark):
+    """All documents as files of four kinds: text with Windows line ends, DOCX, PDF (a reader that makes a page of each line), unknown."""
+    kind, id_ = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    path = F.concat(F.lit("in/"), id_, F.when(kind == 0, ".TXT").when(kind == 1, ".docx").when(kind == 2, ".pdf").otherwise(".odt"))
+    plain = F.when(kind == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text")).cast("binary")
+    docs = t("documents")
+    rows = docs.where(kind == 1).select(path.alias("path"), as_docx().alias("content")).union(docs.where(kind != 1).select(path, plain))
+    found = files.extracted(rows, pdf=lambda b: bytes(b).decode().split("\n"))
+    return found.select(F.regexp_extract("path", r"(\d+)\.", 1).cast("long").alias("document_id"), "page_no", F.md5("text").alias("text_md5"), "reliability", "engine", "error")
+
+
+@query("SELECT item_id, md5(replace(text, '. ', '.' || chr(10)) || chr(10)) AS text_md5 FROM benchmark")
+def s2_txt(t, spark):
+    """Texts with Windows line ends, written as a file each and read again."""
+    at = f"{shared_dir(spark)}/txt-{uuid.uuid4().hex}"
+    t("benchmark").select("item_id", F.replace("text", F.lit(". "), F.lit(".\r\n")).alias("value")).write.partitionBy("item_id").text(at)
+    return files.read_txt(spark, f"{at}/*/*.txt").select(F.regexp_extract("path", r"item_id=(\d+)/", 1).cast("long").alias("item_id"), F.md5("text").alias("text_md5"))
+
+
+@query("SELECT doc_id, ceil(length(text) / 2000.0)::BIGINT AS pages FROM documents")
+def s18_docx_pages(t, spark):
+    return t("documents").select("doc_id", as_docx().alias("content")).select("doc_id", files.docx_page_count("content").alias("pages"))
+
+
+@query(f"SELECT 'document' AS kind, doc_id AS id, source AS text FROM documents WHERE doc_id IN (1, 2, 3, 5, 8, 13) UNION ALL SELECT 'passage', passage_id, md5(text) FROM {PASSAGES} WHERE document_id IN (1, 2, 3, 5, 8, 13) UNION ALL SELECT 'vector', vec_id, label::VARCHAR FROM embeddings JOIN {PASSAGES} ON passage_id = vec_id * 1000000 + 1 WHERE document_id IN (1, 2, 3, 5, 8, 13)")
+def s12_export_chosen(t, spark):
+    """An export of chosen documents, with their passages and the vectors of these."""
+    at = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    vectors = t("embeddings").select((F.col("vec_id") * 1_000_000 + 1).alias("passage_id"), "embedding", "label")
+    library.export_library({"documents": books(t), "passages": passages(t), "vectors": vectors}, at, [1, 2, 3, 5, 8, 13])
+    got = lambda k: spark.read.parquet(f"{at}/{k}")
+    rows = got("documents").select(F.lit("document").alias("kind"), F.col("document_id").alias("id"), F.col("author").alias("text"))
+    rows = rows.union(got("passages").select(F.lit("passage"), "passage_id", F.md5("text")))
+    return rows.union(got("vectors").select(F.lit("vector"), (F.col("passage_id") / 1_000_000).cast("long"), F.col("label").cast("string")))
+
+
+@query(f"SELECT w AS term, count(DISTINCT passage_id) AS df, count(*) AS cf FROM (SELECT conv_id * 1000000 + turn AS passage_id, unnest(list_transform({tokens_sql('text')}, lambda x: lower(x))) AS w FROM conversations) GROUP BY w")
+def t10_rebuild(t, spark):
+    """The dictionary of an index that is built anew, as the stored stem version differs."""
+    turns = t("conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("passage_id"), "text")
+    meta = spark.createDataFrame([("stem_version", "old")], "key string, value string")
+    return library.rebuilt({"passages": turns, "meta": meta}, "new").terms.where("field = 'norm'").select("term", "df", "cf")
+
+
 @query("SELECT 'a-3.txt' AS name")
 def s15_upload_name(t, spark):
-    return spark.createDataFrame([(free_name("x/a.txt", {"a.txt", "a-2.txt"}),)], "name string")
+    return spark.createDataFrame([(files.free_name("x/a.txt", {"a.txt", "a-2.txt"}),)], "name string")

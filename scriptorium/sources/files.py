@@ -59,12 +59,16 @@ def docx_page_count(content: pd.Series) -> pd.Series:
 
 
 def extract(spark: SparkSession, path: str, pdf: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """(path, page_no, text, reliability, engine, error) of the .txt, .docx and .pdf files under path; others carry an error.
+    """The pages of the .txt, .docx and .pdf files under path."""
+    return extracted(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), pdf)
+
+
+def extracted(files: DataFrame, pdf: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """(path, page_no, text, reliability, engine, error) of files (path, content); files of other kinds and broken ones carry an error.
 
     pdf(bytes) -> page texts is the user's PDF reader. Files are split into pages in Python where the format needs it,
     plain text is paginated in the JVM.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -84,7 +88,7 @@ def extract(spark: SparkSession, path: str, pdf: Callable[[bytes], list[str]] |
                     rows.append((name, None, None, None, None, str(e) or type(e).__name__))
             yield pd.DataFrame(rows, columns=["path", "page", "text", "reliability", "engine", "error"]).astype({"page": "Int32"})
 
-    found = files.mapInPandas(run, "path string, page int, text string, reliability string, engine string, error string")
+    found = files.select("path", "content").mapInPandas(run, "path string, page int, text string, reliability string, engine string, error string")
     whole = paginate(found.where("page is null and error is null").drop("page")).select("path", "page_no", "text", "reliability", "engine", "error")
     pages = found.where("page is not null").select("path", F.col("page").alias("page_no"), T.clean_pdf_text(F.col("text")).alias("text"), "reliability", "engine", "error")
     return whole.union(pages).union(found.where("error is not null").select("path", F.col("page").alias("page_no"), "text", "reliability", "engine", "error"))

@@ -153,3 +153,15 @@ def test_hybrid(spark):
 
     assert {r.passage_id for r in vector.hybrid(a, "schreiben", v, broken).collect()} == {1, 2, 3, 5}
     assert {r.passage_id for r in vector.hybrid(a, "schreiben -haus", v, lambda q: [1.0, 0.0]).collect()} == {2, 3, 5}
+
+
+def test_binary_quantisation_of_any_size(spark):
+    """Signs are packed 32 to a number; sizes that are no multiple of 32, zeros and empty vectors."""
+    rows = [(k, [float((k * 7 + j * j * (k + 3)) % 11 - 5) for j in range(37)]) for k in range(1, 30)]
+    v = vector.binary_quantised(spark.createDataFrame([*rows, (99, [])], "passage_id long, vec array<double>"))
+    assert {r.passage_id: len(r.q1) for r in v.collect()} == {k: 2 for k, _ in rows} | {99: 0}
+    q = rows[4][1]
+    apart = lambda x: sum((a > 0) != (b > 0) for a, b in zip(x, q, strict=True))
+    coarse = sorted(rows, key=lambda r: (apart(r[1]), r[0]))[:8]
+    want = [k for k, x in sorted(coarse, key=lambda r: (-sum(a * b for a, b in zip(r[1], q, strict=True)), r[0]))][:4]
+    assert [r.passage_id for r in vector.two_stage_binary(v.where("passage_id < 99"), q, 4).collect()] == want
