@@ -318,7 +318,16 @@ def q8_bm25_all(t, spark):
     return search(archive(t, spark).index, Q.parse("der und")).select("passage_id", F.round("score", 9).alias("score"))
 
 
-@query()
+DER = MATCHED.replace("IN ('the', 'der', 'les', 'que')", "= 'der'")
+DER_ORDERED = f"list_filter({DER}, lambda w, i: list_position({DER}, w) = i)"
+
+
+@query(f"""WITH w AS (SELECT *, len({tokens_sql('text')}) AS n, string_split(form, ' ') AS forms FROM {HAS}), f AS (SELECT *, 2 * n AS d, len(list_filter(forms, lambda x: x = 'der')) AS a FROM w),
+s AS (SELECT count(*) AS nn, avg(d) AS ad, count(*) FILTER (a > 0) AS na FROM f),
+x AS (SELECT f.*, -greatest(ln((nn - na + 0.5) / (na + 0.5)), 1e-6) * (2.0 * a * 2.2 / (2.0 * a + k) + a * 2.2 / (a + k)) AS v FROM (SELECT f.*, nn, na, 1.2 * (0.25 + 0.75 * d / ad) AS k FROM f, s) f WHERE a > 0 AND NOT list_contains(forms, 'zuen')),
+h AS (SELECT *, {DER}[1] AS m FROM x ORDER BY v, passage_id LIMIT 10)
+SELECT passage_id, document_id, title, author, page_no AS page_from, page_no AS page_to, {SNIP} AS snippet, round(v, 9) AS score, array_to_string({DER_ORDERED}, ' ') AS matched_words, 'sicher' AS reliability
+FROM (SELECT *, greatest(greatest(instr(text, m) - 1, 0) - 80, 0) AS st FROM h)""")
 def q5_search_hits(t, spark):
     """Full hits with snippets and matched words: the flagship."""
     h = archive(t, spark).search("der -zuen", limit=10)
