@@ -184,8 +184,8 @@ def toggled(bookmarks: DataFrame, mark: DataFrame) -> DataFrame:
     """Mark (a row like bookmarks) goes if one is there for its document and passage (or page, without a passage); else it is added."""
     m = mark.select(F.col("document_id").alias("__d"), F.col("passage_id").alias("__p"), F.col("page_no").alias("__n"))
     same = (F.col("document_id") == F.col("__d")) & F.when(F.col("__p").isNull(), F.col("passage_id").isNull() & (F.col("page_no") == F.col("__n"))).otherwise(F.col("passage_id") == F.col("__p"))
-    left = bookmarks.join(F.broadcast(m), same, "left_anti")
-    hit = bookmarks.join(F.broadcast(m), same, "left_semi").select("document_id", "passage_id", "page_no")
+    left = bookmarks.join(m, same, "left_anti")
+    hit = bookmarks.join(m, same, "left_semi").select("document_id", "passage_id", "page_no")
     b = hit.select(F.col("document_id").alias("__d"), F.col("passage_id").alias("__p"), F.col("page_no").alias("__n"))
     same_new = (F.col("document_id") == F.col("__d")) & F.when(F.col("passage_id").isNull(), F.col("__p").isNull() & (F.col("page_no") == F.col("__n"))).otherwise(F.col("passage_id") == F.col("__p"))
     return left.union(mark.join(b, same_new, "left_anti").select(*bookmarks.columns))

@@ -22,6 +22,8 @@ K1, B, FLOOR = 1.2, 0.75, 1e-6
 WEIGHT = {"norm": 2.0, "stems": 1.0}
 #: Postings are dealt into this many directories by term, so that a query reads the directories of its terms.
 BUCKETS = 64
+#: Arabic letters, and the one beyond them that folds to a letter.
+MAY_BE_ARABIC = "[ء-يٱ]"
 
 
 def bucket(term: Column) -> Column:
@@ -58,7 +60,9 @@ def postings(passages: DataFrame, passage: str = "passage_id", text: str = "text
     out = norm.select(F.explode(fields).alias("field"), "x.term", "passage_id", "x.positions", "d")
     if not stem_words:
         return out
-    arabic = rows.select("passage_id", d, F.posexplode("tokens").alias("pos", "token")).where(F.col("token").rlike(T.ARABIC))
+    # only texts with such a letter (or one that folds to one) are tokenised again
+    arabic = passages.where(F.col(text).rlike(MAY_BE_ARABIC)).select(F.col(passage).alias("passage_id"), T.tokenize(F.col(text)).alias("tokens"))
+    arabic = arabic.select("passage_id", d, F.posexplode("tokens").alias("pos", "token")).where(F.col("token").rlike(T.ARABIC))
     stems = arabic.join(isri.stem_map(arabic, "token"), "token").groupBy("passage_id", F.col("stem").alias("term")).agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.max("d").alias("d"))
     return out.union(stems.select(F.lit("stems").alias("field"), "term", "passage_id", "positions", "d"))
 

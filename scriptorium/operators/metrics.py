@@ -116,6 +116,11 @@ def _lines(boxes) -> str:
     return "\n".join(said)
 
 
+def deviation(pages: Column, reference: Column) -> Column:
+    """M7: by how many pages a count is off."""
+    return F.abs(pages - reference)
+
+
 def summary(rows: DataFrame, engine: str, metrics: list[str]) -> DataFrame:
     """M6."""
     return rows.groupBy(engine).agg(*[F.avg(m).alias(m) for m in metrics])

@@ -44,6 +44,11 @@ def payload_filtered(rows: DataFrame, source=None, **exact) -> DataFrame:
     return rows.where(F.col("source") == source) if source else rows
 
 
+def reliability(value: Column) -> Column:
+    """P10: where nothing is said, pages count as safe."""
+    return F.coalesce(F.nullif(value, F.lit("")), F.lit("sicher"))
+
+
 def clamp(limit: int = 40, offset: int = 0, most: int = 200) -> tuple[int, int]:
     """The page that a public call may ask for."""
     return max(1, min(most, limit)), max(0, offset)
@@ -59,7 +64,7 @@ class Archive:
 
     def _full(self, rows: DataFrame) -> DataFrame:
         full = rows.join(self.passages, "passage_id").join(self.documents, "document_id")
-        return full.withColumn("reliability", F.coalesce(F.nullif("reliability", F.lit("")), F.lit("sicher")))
+        return full.withColumn("reliability", reliability(F.col("reliability")))
 
     def hits(self, rows: DataFrame, stems: list[str]) -> DataFrame:
         """Adds matched_words and snippet to a page of results; Arabic words go through a UDF, on these rows only."""

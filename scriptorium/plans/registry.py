@@ -21,7 +21,7 @@ from ..operators import catalog as C
 from ..operators import corpus, library, metrics, vector
 from ..operators.chunk import chunk, paginate
 from ..operators.index import Index, search
-from ..operators.search import Archive, filtered, highlight_spans, like, payload_filtered
+from ..operators.search import Archive, filtered, highlight_spans, like, payload_filtered, reliability
 from ..session import shared_dir, ship
 from ..sources import files
 from ..streaming.ingest import ingest_batch
@@ -366,11 +366,11 @@ def p4_page_range(t, spark):
     return pages(t).where((F.col("document_id") == 6) & F.col("page_no").between(first, min(last, first + 40))).orderBy("page_no").select("document_id", "page_no", F.md5("text").alias("text_md5"))
 
 
-@query(f"SELECT p.document_id, p.page_no, 'Book ' || p.document_id AS title, lo, hi FROM {PAGES} p JOIN (SELECT document_id, min(page_no) AS lo, max(page_no) AS hi FROM {PAGES} GROUP BY 1) b ON p.document_id = b.document_id WHERE p.page_no = 1")
+@query(f"SELECT p.document_id, p.page_no, 'Book ' || p.document_id AS title, lo, hi FROM {PAGES} p JOIN (SELECT document_id, min(page_no) AS lo, max(page_no) AS hi FROM {PAGES} GROUP BY 1) b ON p.document_id = b.document_id")
 def p5_reader_page(t, spark):
     p = pages(t)
     bounds = p.groupBy("document_id").agg(F.min("page_no").alias("lo"), F.max("page_no").alias("hi"))
-    return p.where("page_no = 1").join(bounds, "document_id").join(books(t), "document_id").select("document_id", "page_no", "title", "lo", "hi")
+    return p.join(bounds, "document_id").join(books(t), "document_id").select("document_id", "page_no", "title", "lo", "hi")
 
 
 @query(f"SELECT passage_id, title, author, md5(text) AS text_md5 FROM {PASSAGES} WHERE passage_id = 7000001")
@@ -473,12 +473,12 @@ def j2_collect(t, spark):
     return C.with_names(t("documents").select(F.col("doc_id").alias("document_id")), pairs, names, "names").withColumn("names", F.array_join("names", "|"))
 
 
-IMPORT = "SELECT doc_id AS document_id, left(text, 12) AS title, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE n_chars END AS page_count FROM documents WHERE doc_id % 2 = "
+IMPORT = "SELECT doc_id AS document_id, md5(text) AS title, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE n_chars END AS page_count FROM documents WHERE doc_id % 2 = "
 
 
 @query(f"WITH i AS ({IMPORT}0), p AS ({IMPORT}1), n AS (SELECT * FROM i WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.title = i.title AND p.page_count = i.page_count)) SELECT document_id, title, page_count FROM n WHERE page_count IS NULL OR document_id = (SELECT min(document_id) FROM n m WHERE m.title = n.title AND m.page_count = n.page_count)")
 def j7_import_dedup(t, spark):
-    d = t("documents").select(F.col("doc_id").alias("document_id"), F.left("text", F.lit(12)).alias("title"), F.when(F.col("doc_id") % 10 != 0, F.col("n_chars")).alias("page_count"))
+    d = t("documents").select(F.col("doc_id").alias("document_id"), F.md5("text").alias("title"), F.when(F.col("doc_id") % 10 != 0, F.col("n_chars")).alias("page_count"))
     return C.not_imported(d.where("document_id % 2 = 0"), d.where("document_id % 2 = 1"))
 
 
@@ -500,7 +500,7 @@ def j9_point_in_range(t, spark):
 
 
 MARKS = f"""(SELECT passage_id AS id, CASE WHEN document_id % 5 = 0 THEN -1 - document_id ELSE document_id END AS document_id, CASE WHEN document_id % 2 = 0 THEN -5 ELSE passage_id END AS passage_id,
- CASE WHEN document_id % 15 = 0 THEN 'gone' ELSE title END AS doc_title, page_no, CASE WHEN document_id % 4 = 0 THEN 'nowhere to be found' ELSE substring(text, 11, 60) END AS snippet FROM {PASSAGES} WHERE page_no = 1)"""
+ CASE WHEN document_id % 15 = 0 THEN 'gone' ELSE title END AS doc_title, page_no, CASE WHEN document_id % 4 = 0 THEN 'nowhere to be found' ELSE substring(text, 11, 60) END AS snippet FROM {PASSAGES})"""
 
 
 @query(f"""WITH b AS {MARKS}, p AS {PASSAGES}, d AS (SELECT doc_id, 'Book ' || doc_id AS title FROM documents),
@@ -510,7 +510,7 @@ SELECT id, did AS document_id, CASE WHEN did IS NULL OR EXISTS (SELECT 1 FROM p
  doc_title, page_no, snippet, did IS NULL AS missing FROM x""")
 def j10_repair(t, spark):
     p, d = passages(t), F.col("document_id")
-    b = p.where("page_from = 1").select(
+    b = p.select(
         F.col("passage_id").alias("id"), F.when(d % 5 == 0, -1 - d).otherwise(d).alias("document_id"), F.when(d % 2 == 0, F.lit(-5).cast("bigint")).otherwise(F.col("passage_id")).alias("passage_id"),
         F.when(d % 15 == 0, "gone").otherwise(F.concat(F.lit("Book "), d.cast("string"))).alias("doc_title"), F.col("page_from").alias("page_no"), F.when(d % 4 == 0, "nowhere to be found").otherwise(F.substring("text", 11, 60)).alias("snippet"),
     )
@@ -542,9 +542,9 @@ def a6_scalar_count(t, spark):
     return corpus.page_counts(t("supplier").select(F.col("s_suppkey").alias("book_id")), t("lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("book_id")))
 
 
-@query("SELECT conv_id AS book_id, arg_min(role, turn) AS title, arg_min(left(text, 20), turn) AS first_text FROM conversations GROUP BY 1")
+@query("SELECT conv_id AS book_id, arg_min(role, turn) AS title, arg_min(text, turn) AS first_text FROM conversations GROUP BY 1")
 def a7_dims(t, spark):
-    rows = t("conversations").select(F.col("conv_id").alias("book_id"), "turn", F.col("role").alias("title"), F.left("text", F.lit(20)).alias("first_text"))
+    rows = t("conversations").select(F.col("conv_id").alias("book_id"), "turn", F.col("role").alias("title"), F.col("text").alias("first_text"))
     return corpus.dimension(rows, ["book_id"], "turn", ["title", "first_text"])
 
 
@@ -706,11 +706,14 @@ def m1_similarity(t, spark):
     return b.select("item_id", F.round(metrics.similarity(F.col("text"), F.col("other")), 9).alias("similarity"), F.round(metrics.word_order(F.col("text"), F.col("other"), "([A-Za-z]+)"), 9).alias("word_order"))
 
 
-@query()
+@query("""WITH b AS (SELECT l_orderkey AS page_id, l_quantity AS x, (l_linenumber - 1) // 3 AS line, (l_linenumber - 1) % 3 AS down, l_partkey::VARCHAR AS t FROM lineitem),
+l AS (SELECT page_id, line, string_agg(t, ' ' ORDER BY x DESC, down, t) AS t FROM b GROUP BY 1, 2)
+SELECT page_id, string_agg(t, chr(10) ORDER BY line) AS text FROM l GROUP BY 1""")
 def m5_rtl(t, spark):
-    """Each order's lines as boxes: two lines of an order share a text line where they overlap."""
-    x, y = F.col("l_quantity"), F.col("l_linenumber") * 10.0
-    return metrics.assemble_rtl(t("lineitem").select(F.col("l_orderkey").alias("page_id"), x.alias("x0"), (x + 5).alias("x1"), (y * 0.4).alias("y0"), (y * 0.4 + 6).alias("y1"), F.col("l_partkey").cast("string").alias("text")))
+    """Each order's items as boxes of height 6, of which three in turn stand one lower each and so share a text line."""
+    x, n = F.col("l_quantity"), F.col("l_linenumber") - 1
+    y = F.floor(n / 3) * 10.0 + n % 3
+    return metrics.assemble_rtl(t("lineitem").select(F.col("l_orderkey").alias("page_id"), x.alias("x0"), (x + 5).alias("x1"), y.alias("y0"), (y + 6).alias("y1"), F.col("l_partkey").cast("string").alias("text")))
 
 
 @query("SELECT l_shipmode_ AS engine, round(avg(l_quantity), 6) AS q, round(avg(l_discount), 6) AS d FROM (SELECT l_returnflag AS l_shipmode_, l_quantity, l_discount FROM lineitem) GROUP BY 1")
@@ -721,7 +724,7 @@ def m6_summary(t, spark):
 
 @query("SELECT p_partkey, abs(p_size - 25)::BIGINT AS deviation FROM part")
 def m7_deviation(t, spark):
-    return t("part").select("p_partkey", F.abs(F.col("p_size") - 25).cast("bigint").alias("deviation"))
+    return t("part").select("p_partkey", metrics.deviation(F.col("p_size"), F.lit(25)).cast("bigint").alias("deviation"))
 
 
 
@@ -736,7 +739,7 @@ def f7_clean_pdf_text(t, spark):
 @query("SELECT doc_id AS document_id, CASE WHEN doc_id % 4 = 0 THEN 'exakt' ELSE 'sicher' END AS reliability FROM documents")
 def p10_null_defaults(t, spark):
     raw = F.when(F.col("doc_id") % 4 == 0, "exakt").when(F.col("doc_id") % 4 == 1, "")
-    return t("documents").select(F.col("doc_id").alias("document_id"), F.coalesce(F.nullif(raw, F.lit("")), F.lit("sicher")).alias("reliability"))
+    return t("documents").select(F.col("doc_id").alias("document_id"), reliability(raw).alias("reliability"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)")
@@ -749,7 +752,7 @@ k AS (SELECT * FROM n WHERE page_count IS NULL OR document_id = (SELECT min(docu
 SELECT document_id, title FROM p UNION ALL SELECT (SELECT max(document_id) FROM p) + row_number() OVER (ORDER BY document_id), title FROM k""")
 def s13_export_import(t, spark):
     """Even documents are exported and imported into a library of the odd ones."""
-    d = t("documents").select(F.col("doc_id").alias("document_id"), F.left("text", F.lit(12)).alias("title"), F.col("source").alias("author"), F.when(F.col("doc_id") % 10 != 0, F.col("n_chars")).alias("page_count"))
+    d = t("documents").select(F.col("doc_id").alias("document_id"), F.md5("text").alias("title"), F.col("source").alias("author"), F.when(F.col("doc_id") % 10 != 0, F.col("n_chars")).alias("page_count"))
     tables = lambda k: {"documents": d.where(F.col("document_id") % 2 == k), "passages": passages(t).where(F.col("document_id") % 2 == k).select("passage_id", "document_id", "text")}
     at = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
     library.export_library(tables(0), at)
@@ -833,6 +836,11 @@ def t10_rebuild(t, spark):
     return library.rebuilt({"passages": turns, "meta": meta}, "new").terms.where("field = 'norm'").select("term", "df", "cf")
 
 
-@query("SELECT 'a-3.txt' AS name")
+@query("""WITH t AS (SELECT DISTINCT 'Doc' || (doc_id % 60) || CASE WHEN doc_id % 4 = 0 THEN '' ELSE '-' || (doc_id % 7) END || '.txt' AS name FROM documents),
+u AS (SELECT doc_id, 'Doc' || (doc_id % 70) AS s FROM documents), c AS (SELECT doc_id, k, s || CASE WHEN k = 1 THEN '' ELSE '-' || k END || '.txt' AS name FROM u, range(1, 9) r(k))
+SELECT doc_id, arg_min(name, k) AS free FROM c WHERE name NOT IN (SELECT name FROM t) GROUP BY 1""")
 def s15_upload_name(t, spark):
-    return spark.createDataFrame([(files.free_name("x/a.txt", {"a.txt", "a-2.txt"}),)], "name string")
+    """The name that each document would get among the files that are there."""
+    d, n = t("documents"), F.col("doc_id")
+    taken = d.select(F.concat(F.lit("Doc"), (n % 60).cast("string"), F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("-"), (n % 7).cast("string"))), F.lit(".txt")).alias("name"))
+    return files.free_names(d.select("doc_id", F.concat(F.lit("in/Doc"), (n % 70).cast("string"), F.lit(".txt")).alias("name")), taken).select("doc_id", "free")

@@ -7,6 +7,9 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +26,31 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage, survives lost executors."""
+#: What `stored` has written within each `scratch` that is open here.
+_made: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that `stored` wrote within it, but kept ones. Plans that read the others are of no use then:
+    store their results within it, with keep."""
+    made: list[str] = []
+    token = _made.set((*_made.get(), made))
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in made:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df written to the shared folder and read back: cuts lineage, survives lost executors. keep: no `scratch` deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _made.get() if not keep else ():
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -94,6 +94,32 @@ def extracted(files: DataFrame, pdf: Callable[[bytes], list[str]] | None = None)
     return whole.union(pages).union(found.where("error is not null").select("path", F.col("page").alias("page_no"), "text", "reliability", "engine", "error"))
 
 
+def _split_name(name: Column) -> tuple[Column, Column]:
+    """Stem and ending (with its dot) of a file name; a name that begins with its only dot is all stem."""
+    ending = F.regexp_extract(name, r"(?s)^.+(\.[^.]*)\z", 1)
+    return F.left(name, F.length(name) - F.length(ending)), ending
+
+
+def free_names(uploads: DataFrame, taken: DataFrame) -> DataFrame:
+    """S15 over tables: uploads (name, ...) with `free`, the first of name, name-2, name-3, ... that taken (name) doesn't have.
+
+    A taken name counts as number 1 of itself and as number k of what it is without -k. The first free number follows the first number
+    whose successor is missing: a join of numbers with numbers, so no name's files are gathered.
+    """
+    numbered = r"(?s)^(.+)-([2-9]|[1-9][0-9]{1,17})\z"
+    stem, ending = _split_name(F.col("name"))
+    k = F.regexp_extract(stem, numbered, 2)
+    first = taken.select(F.col("name").alias("__base"), F.lit(1).cast("bigint").alias("__k"))
+    more = taken.select(F.concat(F.regexp_extract(stem, numbered, 1), ending).alias("__base"), F.nullif(k, F.lit("")).cast("bigint").alias("__k"))
+    t = first.union(more.where("__k is not null")).where("__base is not null").distinct()
+    last = t.join(t.select("__base", (F.col("__k") - 1).alias("__k")), ["__base", "__k"], "left_anti").groupBy("__base").agg(F.min("__k").alias("__last"))
+    last = last.join(first.select("__base"), "__base", "left_semi")
+    u = uploads.withColumn("__base", F.element_at(F.split(F.translate("name", "\\", "/"), "/"), -1)).join(last, "__base", "left")
+    stem, ending = _split_name(F.col("__base"))
+    free = F.when(F.col("__last").isNull(), F.col("__base")).otherwise(F.concat(stem, F.lit("-"), (F.col("__last") + 1).cast("string"), ending))
+    return u.select(*uploads.columns, free.alias("free"))
+
+
 def free_name(name: str, taken: set[str]) -> str:
     """Name, or name-2, name-3, ..."""
     name = name.replace("\\", "/").rpartition("/")[2]

@@ -1,11 +1,13 @@
 """Catalogue, library, corpus, metrics, sources and streaming on small tables."""
 
 import io
+import os
 import random
 import zipfile
 
 from pyspark.sql import functions as F
 
+from scriptorium import session
 from scriptorium.operators import catalog as C
 from scriptorium.operators import corpus, library, metrics
 from scriptorium.operators.index import Index
@@ -171,6 +173,25 @@ def test_file_sources(spark, tmp_path):
     assert files.free_name("x/a.b.txt", {"a.b.txt", "a.b-2.txt"}) == "a.b-3.txt" and files.free_name("n", {"n"}) == "n-2"
 
 
+def test_free_names_equal_one_upload_each(spark):
+    taken = ["n", "n-3", "a.b.txt", "a.b-2.txt", "a.b-02.txt", ".txt", ".txt-2", "-2.txt", "x-2-2.txt", "x-2.txt", "..", "q.", "q-2.", ".a.b-2", ".a.b", "z-2.txt"]
+    up = ["n", "in/a.b.txt", "in\\a.b-2.txt", ".txt", "-2.txt", "x-2.txt", "..", "q.", ".a.b", "z.txt", "new", "n"]
+    free = files.free_names(spark.createDataFrame([(u, k) for k, u in enumerate(up)], "name string, free int").withColumnRenamed("free", "k"), spark.createDataFrame([(x,) for x in [*taken, None, "n"]], "name string"))
+    assert {r.k: r.free for r in free.collect()} == {k: files.free_name(u, set(taken)) for k, u in enumerate(up)}
+    assert not files.free_names(spark.createDataFrame([], "name string"), spark.createDataFrame([], "name string")).collect()
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    with session.scratch(spark):
+        session.stored(spark.range(3), "gone")
+        kept = session.stored(spark.range(5), "there", keep=True)
+        with session.scratch(spark):
+            session.stored(spark.range(3), "inner")
+        assert any(x.startswith("gone-") for x in os.listdir(session.shared_dir(spark)))
+    assert kept.count() == 5
+    assert not any(x.startswith(("gone-", "inner-")) for x in os.listdir(session.shared_dir(spark)))
+
+
 def test_streaming_ingest_is_exactly_once(spark, tmp_path):
     land, out, ck = (str(tmp_path / x) for x in ("land", "out", "ck"))
     schema = "document_id long, title string, text string"
