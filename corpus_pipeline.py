@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicates, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes each result as Parquet to the shared folder
-and reads it again. All but the last stage return the columns of documents. Quality rules also change texts. Line dedup drops documents
+and reads it again, and deletes what the stage wrote on its way. All but the last stage return the columns of documents. Quality rules also change texts. Line dedup drops documents
 that lose all they said: each of their lines stands in an earlier document or line, or nearly stands there (one word edit, from 8 words on).
 Decontamination drops documents in which windows of two items or more occur, cuts the words of the windows of one item out, and keeps
 the document, even if it becomes empty.
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm import decontam, line_dedup, minhash, packing, quality
 from scriptorium.llm.common import ship, stored
+from scriptorium.session import scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,5 +46,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
     return docs
