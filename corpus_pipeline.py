@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes each result as Parquet to the shared folder
 and reads it again, and deletes what the stage wrote on its way. All but the last stage return the columns of documents. Quality rules also change texts. Line dedup drops documents
-that lose all they said: each of their lines stands in an earlier document or line, or nearly stands there (one word edit, from 8 words on).
+that lose all they said: each of their lines stands in an earlier document or line, or nearly stands there (one word edit from 8 words on, else one
+character from 20 characters on).
 Decontamination drops documents in which windows of two items or more occur, cuts the words of the windows of one item out, and keeps
 the document, even if it becomes empty.
 """
